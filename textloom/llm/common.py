@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -26,14 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Parquet tables in the shared folder that cut lineage and can be pruned by column.
 
-    Tables live as long as the Spark application: a lazily returned plan may still read them. ``clear`` removes them
-    earlier, once nothing that reads them is left to run.
+    Tables live as long as the driver: a lazily returned plan may still read them. ``clear`` removes them earlier,
+    once nothing that reads them is left to run.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
         self.count = 0
         self._open = True
+        atexit.register(self._at_exit)
 
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.count += 1
@@ -50,6 +53,10 @@ class Scratch:
         p = jvm.org.apache.hadoop.fs.Path(name)
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
+    def _at_exit(self) -> None:
+        with contextlib.suppress(Exception):  # the session may have ended before
+            self.clear()
+
     def clear(self) -> None:
         if self._open:
             self._open = False
