@@ -4,11 +4,16 @@ Documents with equal shingle sets are one class from the start. Each class gets
 hash range is cut into ``bands * rows`` bins, each bin keeps its smallest hash, and an empty bin borrows from the
 first non-empty one in its own fixed random order of all bins. Rows of a band are hashed to a bucket.
 
+Shingles that no other document in a shared bucket has bound what two documents can have in common: with u of its n
+shingles its own, a document meets one of m shingles in at most n - u, so 100 * (n - u) < percent * (u + m) proves
+the two unlinked. Documents proven unlinked to all members of a bucket leave it before any pair is made.
+
 Candidates are stars, so their number follows the rows of a bucket, never its square: every round picks a few hubs
-in each bucket that still holds several components and pairs them with the members of other components. Pairs are
-confirmed on the full shingle sets of the whole texts, confirmed links are contracted to components, and hubs leave
-their bucket, since they have met all its members. Rounds go on until every bucket holds one component, so no pair
-that shares a bucket goes untested unless its two documents are joined already.
+in each bucket that still holds several components (first the member with the smallest share of own shingles, the
+likely origin of the others, then members of the smallest components) and pairs them with the members of other
+components. Pairs are confirmed on the full shingle sets of the whole texts, confirmed links are contracted to
+components, and hubs leave their bucket, since they have met all its members. Rounds go on until every bucket holds one
+component, so no pair that shares a bucket goes untested unless it is proven unlinked or joined already.
 
 Defined results: null or blank text has an empty set and is linked with nothing; rows that share a doc_id are one
 document (a link of either text counts); a null doc_id is linked with nothing, gets a null component and is kept.
@@ -106,6 +111,22 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, lower: bool, perce
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def own_shingles(texts: DataFrame, shingle: int, lower: bool) -> DataFrame:
+    """(node, own): the number of shingles that only this one of the texts has; nodes without any are absent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = np.asarray(batch.column(0))
+            for i, j, text in text_slices(batch.column(1)):
+                sets = shingle_sets(text, shingle, lower)
+                nodes = np.repeat(ids[i:j], [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(sets))), pa.array(nodes)], ["shingle", "node"])
+
+    rows = texts.select("doc_id", "text").mapInArrow(run, "shingle long, node long")
+    alone = rows.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other")
+    return alone.groupBy("node").agg(F.count("*").alias("own"))
+
+
 def contract(labels: DataFrame | None, edges: DataFrame, scratch: Scratch) -> DataFrame | None:
     """Labels (node, comp) joined along the edges (a, b): every component gets its smallest label.
 
@@ -145,7 +166,7 @@ def contract(labels: DataFrame | None, edges: DataFrame, scratch: Scratch) -> Da
     return scratch.save(moved.unionByName(roots.join(labels, "node", "left_anti")), "labels")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, lower: bool = True, bands: int = 48, rows: int = 6, hubs: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, lower: bool = True, bands: int = 48, rows: int = 6, hubs: int = 16) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (smallest doc_id linked to it by any chain), kept.
 
     ``shingle`` words a shingle, a link needs ``percent`` of the union in common. ``bands`` x ``rows`` sets the recall:
@@ -159,7 +180,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, lower:
     reps = rows_.join(classes.select("s1", "s2", F.col("rep").alias("doc_id")), ["s1", "s2", "doc_id"], "left_semi")
     members = reps.select(F.col("doc_id").alias("node"), F.explode("buckets").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket")
-    active = scratch.save(members.join(shared, "bucket").distinct(), "active")
+    met = scratch.save(members.join(shared, "bucket").distinct(), "met")
+    nodes = met.select(F.col("node").alias("doc_id")).distinct()
+    own = own_shingles(docs.join(nodes, "doc_id", "left_semi"), shingle, lower)
+    sizes = rows_.join(nodes, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("node")).agg(F.max("n_shingles").alias("n"), F.min("n_shingles").alias("n_low"), (F.min("s1") == F.max("s1")).alias("single"))
+    # A doc_id with several texts gets no bound from its own shingles.
+    sizes = sizes.join(own, "node", "left").select("node", "n", F.when(F.col("single"), F.coalesce("own", F.lit(0))).otherwise(0).alias("own"), "n_low")
+    sizes = scratch.save(sizes, "sizes")
+    active = met.join(sizes, "node")
+    smallest = active.groupBy("bucket").agg(F.min("n_low").alias("least"))
+    common = F.col("n") - F.col("own")
+    open_ = 100 * common >= percent * (F.col("own") + F.greatest("least", common))
+    active = active.join(smallest, "bucket").where(open_).drop("least", "n_low")
+    several = active.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket")
+    active = scratch.save(active.join(several, "bucket"), "active")
 
     # Rows of one document with several texts are joined from the start, by edges between its classes.
     several = rows_.where("n_shingles > 0 and doc_id is not null").join(classes, ["s1", "s2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
@@ -169,7 +203,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, lower:
     first = True
     while active.take(1):
         if first:
-            picked = active.groupBy("bucket").agg(F.min("node").alias("hub"))
+            picked = active.groupBy("bucket").agg(F.min_by("node", F.struct(F.col("own") / F.col("n"), "node")).alias("hub"))
             named = active.withColumn("comp", F.col("node"))
             if labels is not None:
                 named = active.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -184,6 +218,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, lower:
         else:
             hub_comp = hub_comp.withColumn("hub_comp", F.col("hub"))
         met = named.join(hub_comp.withColumn("hub_comp", F.coalesce("hub_comp", "hub")), "bucket").where("comp <> hub_comp")
+        # The hub's own shingles bound a pair as the other member's do.
+        far = sizes.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("own").alias("hub_own"))
+        most = F.least(F.col("n") - F.col("own"), F.col("hub_n") - F.col("hub_own"))
+        met = met.join(far, "hub").where(100 * most >= percent * (F.col("n") + F.col("hub_n") - most))
         pairs = met.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -193,7 +231,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, lower:
         texts = docs.join(ids, "doc_id", "left_semi")
         links = scratch.save(confirm(pairs, texts, shingle, lower, percent), "links")
         labels = contract(labels, links.distinct(), scratch)
-        left = active.select("bucket", "node").join(picked.withColumnRenamed("hub", "node"), ["bucket", "node"], "left_anti")
+        left = active.select("bucket", "node", "n", "own").join(picked.withColumnRenamed("hub", "node"), ["bucket", "node"], "left_anti")
         if labels is not None:
             left = left.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         else:
@@ -201,7 +239,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, lower:
         mixed = left.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("bucket")
         left = left.join(mixed, "bucket")
         weights = left.groupBy("comp").agg(F.count("*").alias("weight"))
-        active = scratch.save(left.join(weights, "comp").select("bucket", "node", "comp", "weight"), "active")
+        active = scratch.save(left.join(weights, "comp").select("bucket", "node", "comp", "weight", "n", "own"), "active")
         first = False
 
     named = classes.withColumn("comp", F.col("rep"))
@@ -211,3 +249,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, lower:
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.least(F.coalesce("comp", "doc_id"), "doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def representatives(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of docs that stay: those of the smallest doc_id of each component, and those without a doc_id."""
+    gone = near_duplicates(docs, **settings).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")

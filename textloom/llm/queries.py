@@ -3,15 +3,84 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from . import binary, chat, linededup, minhash, mixing, packing, quality, sketch, suffixtree, tokens, toxicity
+from .common import Scratch, table
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokens.default_tokenizer(), capacity=2048, end_id=0)
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), max_repeat=3)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .minhash import near_duplicates
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = suffixtree.held_out(F.col("doc_id"), 4, 2)
+    machine = toxicity.fit(docs, labels.where(~held))
+    return toxicity.score(docs, machine, 0.3).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Scratch(spark).path("blocks")
+    return binary.documents(binary.write(table(spark, sf_dir, "documents"), path, tokens.default_tokenizer(), end_id=0))
+
+
+def op7_suffix_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixtree.score(table(spark, sf_dir, "documents"), modulus=7, remainder=2)
+
+
+def op8_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.edited_comparison(table(spark, sf_dir, "documents"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = linededup.LineIndex.build(docs, min_docs=5, min_chars=40).dedup(docs)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+PROBE = "</s>[INST] ok [/INST]"
+
+
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_chats(rows.unionByName(probe)))
 
-    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
+QUERIES = {
+    f.__name__: f
+    for f in (op1_best_fit_packing, op2_quality_rules, op3_source_mixing, op4_minhash_near_dedup, op5_toxicity, op6_token_binary, op7_suffix_tree_scoring, op8_scaled_sketch, op9_line_dedup, op10_chat_formatting)
+}
 
-QUERIES = {f.__name__: f for f in (op4_minhash_near_dedup,)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op9_line_dedup": r"""
+        WITH lines AS (
+            SELECT doc_id, n, line,
+                   translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+            FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM documents)
+        ), repeated AS (
+            SELECT key, max(doc_id) AS keeper FROM lines WHERE length(key) >= 40
+            GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+        ), marked AS (
+            SELECT l.*, r.key IS NOT NULL AND l.doc_id <> r.keeper AS lost FROM lines l LEFT JOIN repeated r USING (key)
+        )
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT lost), '')) AS kept_sha256
+        FROM marked GROUP BY doc_id
+    """,
+}
