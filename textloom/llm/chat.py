@@ -3,8 +3,8 @@
 The template marks every turn: an opening mark that names the role, the text, a closing mark; a conversation stands
 between ``<s>`` and ``</s>``. A deterministic parser reads the rendered text back. Each turn is rendered raw first; where
 the parser does not return the very same turn (its text holds control strings), the turn is rendered again with
-its text escaped, and its opening mark says so. Escaping doubles backslashes and puts one before each ``[`` and ``<``, so an
-escaped text holds no control string at all and the second rendering always parses back.
+its text escaped, and its opening mark says so. Escaping writes a backslash, ``[`` and ``<`` as two characters that hold
+neither ``[`` nor ``<``, so an escaped text has no control string at all and the second rendering always parses back.
 
 ``loss`` lists the (start, end) spans of assistant texts in the rendered text, in code points; escaped spans are
 listed with their turn's flag, so that the text under the mask can be unescaped.
@@ -27,16 +27,18 @@ from pyspark.sql import functions as F
 BEGIN, END, CLOSE = "<s>", "</s>", "[/INST]"
 _OPEN = re.compile(r"\[INST ([^\s\]]*)( esc)?\]")
 _SPECIAL = re.compile(r"[\\\[<]")
-_ESCAPED = re.compile(r"\\(.)", re.S)
+_ESCAPED = re.compile(r"\\([\\la])")
+_CODES = {"\\": "\\\\", "[": "\\l", "<": "\\a"}
+_PLAIN = {"\\": "\\", "l": "[", "a": "<"}
 SCHEMA = "conv_id long, formatted string, loss array<struct<start:long,end:long,escaped:boolean>>"
 
 
 def escape(text: str) -> str:
-    return _SPECIAL.sub(lambda m: "\\" + m[0], text)
+    return _SPECIAL.sub(lambda m: _CODES[m[0]], text)
 
 
 def unescape(text: str) -> str:
-    return _ESCAPED.sub(lambda m: m[1], text)
+    return _ESCAPED.sub(lambda m: _PLAIN[m[1]], text)
 
 
 def parse_turn(s: str, at: int) -> tuple[str, str, int] | None:
