@@ -1,15 +1,15 @@
 """Language-model scoring with a probabilistic suffix tree, beside a smoothed word-frequency baseline.
 
 The text is the stream of its lower-cased (A-Z) words, one space between, and an end symbol; symbols are bytes. A state of
-the tree is a context of up to ``depth`` bytes. It is retained if it is frequent enough (``share`` of all symbols, at
-least ``min_count``), which bounds each order at 1 / share states, and if its next-symbol distribution diverges from
-that of the context one symbol shorter: count * KL >= ``min_gain`` nats. Distributions are smoothed recursively,
+the tree is a context of up to ``depth`` bytes. It is retained if it occurs ``min_count`` times and its next-symbol
+distribution diverges from that of the context one symbol shorter: count * KL >= ``min_gain`` nats. Should the tree then
+hold more than ``max_entries`` (state, next symbol) entries, the least frequent states go, by the smallest higher count
+that fits; that bounds what is sent to the executors. Distributions are smoothed recursively,
 P(x | s) = (n(s, x) + mu * P(x | next shorter state)) / (n(s) + mu), down to add-one bytes. A symbol is scored by
 the longest retained suffix of what stands before it.
 
 Counts cover every training text: packed (depth + 1)-byte windows and word hashes are counted a slice at a time,
-summed by key, and the shorter contexts are sums over those. The tree (bounded, its size checked) goes to the
-executors. Word counts are unbounded, so only the ``common`` most frequent words are sent; the rest of each
+summed by key, and the shorter contexts are sums over those. Word counts are unbounded, so only the ``common`` most frequent words are sent; the rest of each
 document's words are joined with the count table.
 
 Defined results: null or blank text is the end symbol alone; rows with equal doc_id are scored each on its own; a null
@@ -31,7 +31,6 @@ from .vectext import _LOWER, Text, list_array, signed, text_slices
 _U = np.uint64
 SPACE, STOP = 32, 10
 END_WORD = -1  # key of the end token among word hashes
-MAX_ENTRIES = 8_000_000
 
 
 def symbols(text: Text, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -151,44 +150,52 @@ class Tree:
         return out
 
 
-def learn(windows: DataFrame, depth: int, share: float, min_count: int, min_gain: float, mu: float, scratch: Scratch) -> Tree:
+def learn(windows: DataFrame, depth: int, min_count: int, min_gain: float, mu: float, max_entries: int, scratch: Scratch) -> Tree:
     """The tree from (key, n) of packed windows."""
     mask = lambda c, bytes_: c.bitwiseAND(F.lit((1 << 8 * bytes_) - 1)) if bytes_ < 8 else c
-    level = scratch.save(windows, "windows")
+    of = lambda t: t.select(F.shiftrightunsigned("key", 8).alias("context"), F.col("key").bitwiseAND(F.lit(255)).alias("symbol"), "n")
     tables = {}
+    level = windows
     for order in range(depth, -1, -1):
         level = level.groupBy(mask(F.col("key"), order + 1).alias("key")).agg(F.sum("n").alias("n"))
         level = tables[order] = scratch.save(level, f"order{order}")
     base = np.zeros(256)
     for r in tables[0].collect():  # at most 256 rows
         base[r["key"]] = r["n"]
-    least = max(min_count, int(share * base.sum()))
-    levels = {}
+    states = None
     for order in range(1, depth + 1):
-        of = lambda t: t.select(F.shiftrightunsigned("key", 8).alias("context"), F.col("key").bitwiseAND(F.lit(255)).alias("symbol"), "n")  # noqa: B023, E731
         own = of(tables[order])
-        totals = own.groupBy("context").agg(F.sum("n").alias("total")).where(F.col("total") >= least)
+        totals = own.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("size")).where(F.col("total") >= min_count)
         up = tables[order - 1].select(F.col("key").alias("shorter"), F.col("n").alias("m"))
         up_total = of(tables[order - 1]).groupBy(F.col("context").alias("above")).agg(F.sum("n").alias("m_total"))
         e = own.join(totals, "context").withColumn("shorter", mask(F.shiftleft("context", 8).bitwiseOR(F.col("symbol")), order))
         e = e.withColumn("above", F.shiftrightunsigned("shorter", 8)).join(up, "shorter").join(up_total, "above")
         gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("total") * F.col("m_total") / F.col("m")))
-        kept = e.groupBy("context").agg(gain.alias("gain")).where(F.col("gain") >= min_gain).select("context")
-        found = own.join(kept, "context").limit(MAX_ENTRIES + 1).toArrow()  # at most 1 / share states
+        kept = e.groupBy("context").agg(gain.alias("gain"), F.first("total").alias("total"), F.count("*").alias("size")).where(F.col("gain") >= min_gain)
+        kept = kept.select(F.lit(order).alias("order"), "context", "total", "size")
+        states = kept if states is None else states.unionByName(kept)
+    states = scratch.save(states, "states")
+    least, room = 1 << 62, max_entries
+    for total, size in sorted(((r["total"], r["size"]) for r in states.groupBy("total").agg(F.sum("size").alias("size")).collect()), reverse=True):
+        if size > room:
+            break
+        least, room = total, room - size
+    levels = {}
+    for order in range(1, depth + 1):
+        kept = states.where((F.col("order") == order) & (F.col("total") >= least)).select("context")
+        found = of(tables[order]).join(kept, "context").toArrow()  # at most max_entries rows over all orders
         levels[order] = tuple(np.asarray(found.column(c)).astype(t) for c, t in (("context", _U), ("symbol", _U), ("n", float)))
-    if sum(len(x[0]) for x in levels.values()) > MAX_ENTRIES:
-        raise ValueError(f"the tree has more than {MAX_ENTRIES} entries; a larger share or min_gain makes it smaller")
     return Tree.build(depth, mu, base, levels)
 
 
-def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, depth: int = 5, share: float = 2e-5, min_count: int = 16, min_gain: float = 10.0, mu: float = 4.0, common: int = 1 << 19) -> DataFrame:
+def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, depth: int = 5, min_count: int = 16, min_gain: float = 20.0, mu: float = 8.0, max_entries: int = 2_000_000, common: int = 1 << 19) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long"), "text").withColumn("held_out", held_out(F.col("doc_id"), modulus, remainder))
     counted = scratch.save(counts(docs.where("not held_out"), depth), "counts")
     words = counted.where("word").select("key", "n")
-    tree = learn(counted.where("not word").select("key", "n"), depth, share, min_count, min_gain, mu, scratch)
+    tree = learn(counted.where("not word").select("key", "n"), depth, min_count, min_gain, mu, max_entries, scratch)
     spectrum = sorted(((r["n"], r["m"]) for r in words.groupBy("n").agg(F.count("*").alias("m")).collect()), reverse=True)  # counts of counts
     total, distinct = sum(n * m for n, m in spectrum), sum(m for _, m in spectrum)
     limit, room = 1 << 62, common
