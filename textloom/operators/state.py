@@ -40,7 +40,7 @@ def count_mismatches(shared: DataFrame, refs: DataFrame, key: str) -> DataFrame:
     """Stored against recomputed reference counts; empty if the invariant holds."""
     real = refs.groupBy(key).agg(F.count("*").alias("real"))
     both = shared.select(key, "ref_count").join(real, key, "full_outer")
-    return both.where(~F.coalesce("ref_count", F.lit(0)).eqNullSafe(F.coalesce("real", F.lit(0))))
+    return both.na.fill(0, ["ref_count", "real"]).where("ref_count <> real")
 
 
 def unreferenced(shared: DataFrame, refs: DataFrame, key: str) -> DataFrame:

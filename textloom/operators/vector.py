@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from textloom.plans.schemas import MIN_VECTOR_SCORE, VECTOR_DIMS, VECTOR_LIMIT
 
@@ -27,7 +28,7 @@ def embed(rows: DataFrame, column: str, prefix: str = "passage", dims: int = VEC
             vectors = [embedder(t or "", prefix, dims) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(vectors, pa.list_(pa.float32()))], [*names, "vector"])
 
-    return rows.mapInArrow(run, rows.schema.add("vector", "array<float>"))
+    return rows.mapInArrow(run, StructType([*rows.schema, StructField("vector", ArrayType(FloatType()))]))
 
 
 def cosine(a: Column, b: Column) -> Column:
