@@ -209,8 +209,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, lower:
                 named = active.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         else:
             named = active  # carries comp and the number of rows of the component, see below
-            ranks = [F.min_by("node", F.struct("weight", F.xxhash64(F.lit(i), "node"))).alias(f"h{i}") for i in range(hubs)]
-            picked = active.groupBy("bucket").agg(*ranks).select("bucket", F.explode(F.array_distinct(F.array(*[f"h{i}" for i in range(hubs)]))).alias("hub"))
+            # The member of the smallest component in each of ``hubs`` classes of nodes.
+            kind = F.pmod(F.xxhash64("node"), F.lit(hubs))
+            best = [F.min(F.when(kind == i, F.struct("weight", "node"))).alias(f"h{i}") for i in range(hubs)]
+            each = active.groupBy("bucket").agg(*best).select("bucket", F.explode(F.array(*[f"h{i}.node" for i in range(hubs)])).alias("hub"))
+            picked = each.where("hub is not null")
         picked = scratch.save(picked, "hubs")
         hub_comp = picked
         if labels is not None:
