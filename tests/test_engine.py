@@ -31,9 +31,9 @@ def test_normalized(spark, raw, want):
 
 
 def test_terms_and_matching(spark):
-    assert one(spark, T.terms(F.lit("  zg   Search "))) == ["zg", "search"]
+    assert one(spark, T.terms(F.lit("  tool   Search "))) == ["tool", "search"]
     assert one(spark, T.terms(F.lit(" "))) == []
-    for query, text, want in [("   ", "x", True), ("zg rust", "Building ZG tools with Rust nightly", True), ("zg rust", "Building zg tools with Python", False), ("mini grep", "A tiny mini GREP-like utility", True)]:
+    for query, text, want in [("   ", "x", True), ("tool rust", "Building TOOL kits with Rust nightly", True), ("tool rust", "Building tool kits with Python", False), ("mini grep", "A tiny mini GREP-like utility", True)]:
         assert one(spark, T.matches_all(F.lit(text), F.lit(query))) is want
         assert Query(query).matches(text) is want
 
@@ -83,7 +83,7 @@ def test_chunks(spark, body, want):
 
 
 def test_admission(spark):
-    rows = [("notes.md", 3), ("journal.rst", 3), ("code.rs", 3), ("config.toml", 3), ("README", 3), ("big.md", 1 << 22), ("empty.md", 0), ("X.MD", 1), ("x.RS", 1), (".zg/a.md", 1)]
+    rows = [("notes.md", 3), ("journal.rst", 3), ("code.rs", 3), ("config.toml", 3), ("README", 3), ("big.md", 1 << 22), ("empty.md", 0), ("X.MD", 1), ("x.RS", 1), (".textloom/a.md", 1)]
     df = spark.createDataFrame(rows, "p string, n long")
     kept = {r["p"] for r in df.where(corpus.admitted(F.col("p"), F.col("n"))).collect()}
     assert kept == {"notes.md", "journal.rst", "code.rs", "README", "X.MD"}
@@ -121,7 +121,7 @@ def test_fusion_order(spark):
     [
         ("sqlite vector adapter", "sqlite adapter", "alpha.md:[f] 1: sqlite vector adapter"),
         ("alpha :: beta", "::", "alpha.md:[r] 1: alpha :: beta"),
-        ("see Docs/R0_Product_Philosophy.md for source", "docs/r0_product_philosophy.md", "alpha.md:[rf] 1: see Docs/R0_Product_Philosophy.md for source"),
+        ("see Docs/R0_Some_Guide.md for source", "docs/r0_some_guide.md", "alpha.md:[rf] 1: see Docs/R0_Some_Guide.md for source"),
     ],
 )
 def test_search_output(spark, text, query, want):
@@ -157,7 +157,7 @@ def test_code_symbols():
 def test_walk_respects_ignore_files(tmp_path):
     (tmp_path / "child").mkdir()
     (tmp_path / ".ignore").write_text("*.md")
-    (tmp_path / "child" / ".zgignore").write_text("!keep.md")
+    (tmp_path / "child" / ".textloomignore").write_text("!keep.md")
     for n in ("keep.md", "blocked.md", ".hidden.md"):
         (tmp_path / "child" / n).write_text("x")
     assert corpus.walk(str(tmp_path)) == ["child/keep.md"]

@@ -96,7 +96,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession, root: str, store_root: str | None = None):
         self.spark, self.root = spark, root
-        self.store = Store(spark, store_root or f"file://{root}/.zg/index")
+        self.store = Store(spark, store_root or f"file://{root}/.textloom/index")
 
     def preflight(self, level: str) -> dict:
         files = corpus.load(corpus.read_tree(self.spark, self.root))

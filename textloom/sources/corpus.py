@@ -21,7 +21,7 @@ def from_documents(docs: DataFrame) -> DataFrame:
 def _rules(folder: str) -> list[tuple[str, bool]]:
     """(pattern, ignored) of a folder's ignore files, the last match decides."""
     out = []
-    for name in (".gitignore", ".ignore", ".zgignore"):
+    for name in (".gitignore", ".ignore", ".textloomignore"):
         path = os.path.join(folder, name)
         if os.path.isfile(path):
             with open(path, encoding="utf-8", errors="replace") as f:
@@ -92,7 +92,7 @@ def admitted(path: Column, size: Column) -> Column:
     """Extension, base name and size rules."""
     base = F.lower(F.element_at(F.split(path, "/"), -1))
     known = F.lower(extension(path)).isin(*S.TEXT_EXTENSIONS) | extension(path).isin(*S.CODE_LANGUAGES) | base.isin(*[b.lower() for b in S.TEXT_BASENAMES])
-    return size.between(1, S.MAX_FILE_BYTES) & known & ~F.array_contains(F.split(path, "/"), ".zg")
+    return size.between(1, S.MAX_FILE_BYTES) & known & ~F.array_contains(F.split(path, "/"), ".textloom")
 
 
 def plain_text(body: Column) -> Column:
@@ -122,7 +122,7 @@ def root_of(paths: DataFrame, roots: DataFrame) -> DataFrame:
     return paths.join(roots, covers, "left").groupBy("path").agg(F.max_by("root", F.length("root")).alias("root"))
 
 
-def find_root(path: str, marker: str = ".zg") -> str | None:
+def find_root(path: str, marker: str = ".textloom") -> str | None:
     """Nearest ancestor folder that holds an index."""
     at = os.path.abspath(path)
     while True:
