@@ -134,7 +134,7 @@ def test_quality(docs, rows):
 def test_quality_rejects_depleted_and_keeps_copies(spark):
     boiler = [f"boilerplate sentence number {k} that every page of this host repeats again" for k in range(4)]
     page = [(i, "\n".join([*boiler, *[f"{i}-{k}" for k in range(15)]]), "h") for i in range(40)]
-    copies = [(100 + i, "\n".join(f"a clean text with line {k} and quite a few words in it" for k in range(9)), "h") for i in range(60)]
+    copies = [(100 + i, "\n".join(f"clean line {k} " + " ".join(f"w{k}x{j}" for j in range(9)) for k in range(9)), "h") for i in range(60)]
     out = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(page + copies, "doc_id long, text string, source string"), max_docs=5, min_share=0.5).collect()}
     assert sum(not out[i]["kept"] for i in range(40)) >= 30 and out[0]["n_lost_words"] >= 30
     assert all(out[100 + i]["kept"] for i in range(60))

@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import partitions
 from .vectext import shingle_sets, text_slices
@@ -79,7 +80,7 @@ def with_fingerprint(docs: DataFrame, shingle: int = 5, fraction: float = 0.125)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fingerprints(batch.column(at), shingle, fraction), pa.string())], [*names, "fingerprint"])
 
-    return docs.mapInArrow(run, docs.schema.add("fingerprint", "string"))
+    return docs.mapInArrow(run, StructType([*docs.schema, StructField("fingerprint", StringType())]))
 
 
 def chained(docs: DataFrame, runs_per_partition: int = 4) -> DataFrame:
