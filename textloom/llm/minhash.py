@@ -10,7 +10,7 @@ the two unlinked. Documents proven unlinked to all members of a bucket leave it
 
 Candidates are stars, so their number follows the rows of a bucket, never its square: every round picks a few hubs
 in each bucket that still holds several components (first the member with the smallest share of own shingles, the
-likely origin of the others, then members of the smallest components) and pairs them with the members of other
+likely origin of the others, then members of all components but the largest) and pairs them with the members of other
 components. Pairs are confirmed on the full shingle sets of the whole texts, confirmed links are contracted to
 components, and hubs leave their bucket, since they have met all its members. Rounds go on until every bucket holds one
 component, so no pair that shares a bucket goes untested unless it is proven unlinked or joined already.
@@ -166,7 +166,7 @@ def contract(labels: DataFrame | None, edges: DataFrame, scratch: Scratch) -> Da
     return scratch.save(moved.unionByName(roots.join(labels, "node", "left_anti")), "labels")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, lower: bool = True, bands: int = 48, rows: int = 6, hubs: int = 16) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, lower: bool = True, bands: int = 48, rows: int = 6, hubs: int = 64) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (smallest doc_id linked to it by any chain), kept.
 
     ``shingle`` words a shingle, a link needs ``percent`` of the union in common. ``bands`` x ``rows`` sets the recall:
@@ -209,11 +209,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, lower:
                 named = active.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         else:
             named = active  # carries comp and the number of rows of the component, see below
-            # The member of the smallest component in each of ``hubs`` classes of nodes.
-            kind = F.pmod(F.xxhash64("node"), F.lit(hubs))
-            best = [F.min(F.when(kind == i, F.struct("weight", "node"))).alias(f"h{i}") for i in range(hubs)]
-            each = active.groupBy("bucket").agg(*best).select("bucket", F.explode(F.array(*[f"h{i}.node" for i in range(hubs)])).alias("hub"))
-            picked = each.where("hub is not null")
+            # Of every pair of components one isn't the bucket's largest: hubs are members of the others, of the
+            # smallest component in each of ``hubs`` classes of nodes.
+            largest = active.groupBy("bucket").agg(F.max(F.struct("weight", "comp")).alias("top"))
+            others = active.join(largest, "bucket").where(F.col("comp") != F.col("top.comp"))
+            kind = F.pmod(F.xxhash64("node"), F.lit(hubs)).alias("kind")
+            picked = others.groupBy("bucket", kind).agg(F.min(F.struct("weight", "node")).alias("m")).select("bucket", F.col("m.node").alias("hub"))
         picked = scratch.save(picked, "hubs")
         hub_comp = picked
         if labels is not None:
