@@ -33,6 +33,7 @@ from .common import Scratch
 from .vectext import _STEP, list_array, mix, shingle_sets, signed, text_slices
 
 _U = np.uint64
+MAX_BROADCAST_IDS = 1_000_000
 
 
 class OnePermutation:
@@ -85,30 +86,34 @@ def signatures(docs: DataFrame, shingle: int, lower: bool, bands: int, rows: int
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, lower: bool, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
+    """a, b, both, linked: shingles in common of the full sets, and is 100 * both >= percent * union?"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (np.asarray(batch.column(i)) for i in (0, 1))
-            keep = np.zeros(len(a), bool)
+            both, linked = np.zeros(len(a), np.int64), np.zeros(len(a), bool)
+            hub_rows = np.ones(len(a), bool)  # a hub's text is taken apart once in a run of its pairs
+            hub_rows[1:] = a[1:] != a[:-1]
             left = {}
-            row = 0
-            hub_rows = np.concatenate([[True], a[1:] != a[:-1]]) if len(a) else np.zeros(0, bool)
-            hubs = batch.column(2).filter(pa.array(hub_rows))
-            hub_of = np.cumsum(hub_rows) - 1
-            for i, j, text in text_slices(hubs):
+            for i, j, text in text_slices(batch.column(2).filter(pa.array(hub_rows))):
                 left.update(zip(range(i, j), shingle_sets(text, shingle, lower)))
+            hub_of = np.cumsum(hub_rows) - 1
             for i, j, text in text_slices(batch.column(3)):
                 for row, other in zip(range(i, j), shingle_sets(text, shingle, lower)):
                     mine = left[hub_of[row]]
-                    if len(mine) and len(other) and 100 * min(len(mine), len(other)) >= percent * max(len(mine), len(other)):
-                        both = len(np.intersect1d(mine, other, assume_unique=True))
-                        keep[row] = 100 * both >= percent * (len(mine) + len(other) - both)
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
+                    both[row] = len(np.intersect1d(mine, other, assume_unique=True))
+                    linked[row] = both[row] > 0 and 100 * both[row] >= percent * (len(mine) + len(other) - both[row])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(both), pa.array(linked)], ["a", "b", "both", "linked"])
 
     members = pairs.join(texts.withColumnRenamed("doc_id", "b").withColumnRenamed("text", "text_b"), "b")
-    both = members.join(texts.withColumnRenamed("doc_id", "a").withColumnRenamed("text", "text_a"), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    rows = members.join(texts.withColumnRenamed("doc_id", "a").withColumnRenamed("text", "text_a"), "a")
+    return rows.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, both long, linked boolean")
+
+
+def matching(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs with one of the ids. Only a counted, small set is broadcast; a larger one is a shuffled join."""
+    small = ids.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
 
 
 def own_shingles(texts: DataFrame, shingle: int, lower: bool) -> DataFrame:
@@ -166,6 +171,13 @@ def contract(labels: DataFrame | None, edges: DataFrame, scratch: Scratch) -> Da
     return scratch.save(moved.unionByName(roots.join(labels, "node", "left_anti")), "labels")
 
 
+def named_by(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """rows with the component of each node."""
+    if labels is None:
+        return rows.withColumn("comp", F.col("node"))
+    return rows.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, lower: bool = True, bands: int = 48, rows: int = 6, hubs: int = 64) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (smallest doc_id linked to it by any chain), kept.
 
@@ -181,11 +193,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, lower:
     members = reps.select(F.col("doc_id").alias("node"), F.explode("buckets").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket")
     met = scratch.save(members.join(shared, "bucket").distinct(), "met")
-    nodes = met.select(F.col("node").alias("doc_id")).distinct()
-    own = own_shingles(docs.join(nodes, "doc_id", "left_semi"), shingle, lower)
+    nodes = scratch.save(met.select(F.col("node").alias("doc_id")).distinct(), "nodes")
+    texts = scratch.save(matching(docs, nodes), "texts")
+    own = own_shingles(texts, shingle, lower)
     sizes = rows_.join(nodes, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("node")).agg(F.max("n_shingles").alias("n"), F.min("n_shingles").alias("n_low"), (F.min("s1") == F.max("s1")).alias("single"))
     # A doc_id with several texts gets no bound from its own shingles.
-    sizes = sizes.join(own, "node", "left").select("node", "n", F.when(F.col("single"), F.coalesce("own", F.lit(0))).otherwise(0).alias("own"), "n_low")
+    sizes = sizes.join(own, "node", "left").select("node", "n", F.when(F.col("single"), F.coalesce("own", F.lit(0))).otherwise(0).alias("own"), "n_low", "single")
     sizes = scratch.save(sizes, "sizes")
     active = met.join(sizes, "node")
     smallest = active.groupBy("bucket").agg(F.min("n_low").alias("least"))
@@ -199,52 +212,41 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, lower:
     several = rows_.where("n_shingles > 0 and doc_id is not null").join(classes, ["s1", "s2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     own = several.join(classes.select(F.col("rep").alias("a")).distinct(), "a", "left_semi").distinct()
     labels = contract(None, own, scratch)
+    active = named_by(active.withColumn("inter", F.lit(None).cast("long")), labels)
     tested = None
-    first = True
     while active.take(1):
-        if first:
-            picked = active.groupBy("bucket").agg(F.min_by("node", F.struct(F.col("own") / F.col("n"), "node")).alias("hub"))
-            named = active.withColumn("comp", F.col("node"))
-            if labels is not None:
-                named = active.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        if tested is None:
+            picked = active.groupBy("bucket").agg(F.min_by(F.struct("node", "comp", "n", "own", "inter"), F.struct(F.col("own") / F.col("n"), "node")).alias("h"))
         else:
-            named = active  # carries comp and the number of rows of the component, see below
-            # Of every pair of components one isn't the bucket's largest: hubs are members of the others, of the
-            # smallest component in each of ``hubs`` classes of nodes.
-            largest = active.groupBy("bucket").agg(F.max(F.struct("weight", "comp")).alias("top"))
+            # Of every pair of components one isn't the bucket's largest: hubs are members of the others, one of each of
+            # ``hubs`` classes of nodes.
+            largest = active.groupBy("bucket", "comp").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.max(F.struct("m", "comp")).alias("top"))
             others = active.join(largest, "bucket").where(F.col("comp") != F.col("top.comp"))
             kind = F.pmod(F.xxhash64("node"), F.lit(hubs)).alias("kind")
-            picked = others.groupBy("bucket", kind).agg(F.min(F.struct("weight", "node")).alias("m")).select("bucket", F.col("m.node").alias("hub"))
-        picked = scratch.save(picked, "hubs")
-        hub_comp = picked
-        if labels is not None:
-            hub_comp = hub_comp.join(labels.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp")), "hub", "left")
-        else:
-            hub_comp = hub_comp.withColumn("hub_comp", F.col("hub"))
-        met = named.join(hub_comp.withColumn("hub_comp", F.coalesce("hub_comp", "hub")), "bucket").where("comp <> hub_comp")
-        # The hub's own shingles bound a pair as the other member's do.
-        far = sizes.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("own").alias("hub_own"))
-        most = F.least(F.col("n") - F.col("own"), F.col("hub_n") - F.col("hub_own"))
-        met = met.join(far, "hub").where(100 * most >= percent * (F.col("n") + F.col("hub_n") - most))
-        pairs = met.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+            picked = others.groupBy("bucket", kind).agg(F.min(F.struct("node", "comp", "n", "own", "inter")).alias("h"))
+        picked = scratch.save(picked.select("bucket", *[F.col(f"h.{c}").alias(f"hub_{c}") for c in ("node", "comp", "n", "own", "inter")]), "hubs")
+        # What two members can share: neither's own shingles; and, by their parts inside and outside the bucket's first
+        # hub, the smaller inside part and the smaller shared outside part.
+        meets = """a.bucket = h.bucket and a.comp <> h.hub_comp and
+            100 * least(a.n - a.own, h.hub_n - h.hub_own, coalesce(least(a.inter, h.hub_inter) + least(a.n - a.own - a.inter, h.hub_n - h.hub_own - h.hub_inter), a.n))
+            >= PERCENT * (a.n + h.hub_n - least(a.n - a.own, h.hub_n - h.hub_own, coalesce(least(a.inter, h.hub_inter) + least(a.n - a.own - a.inter, h.hub_n - h.hub_own - h.hub_inter), a.n)))"""
+        met = active.alias("a").join(picked.alias("h"), F.expr(meets.replace("PERCENT", str(percent))))
+        pairs = met.select(F.least("hub_node", "node").alias("a"), F.greatest("hub_node", "node").alias("b")).distinct()
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.save(pairs, "candidates")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        texts = docs.join(ids, "doc_id", "left_semi")
-        links = scratch.save(confirm(pairs, texts, shingle, lower, percent), "links")
-        labels = contract(labels, links.distinct(), scratch)
-        left = active.select("bucket", "node", "n", "own").join(picked.withColumnRenamed("hub", "node"), ["bucket", "node"], "left_anti")
-        if labels is not None:
-            left = left.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        else:
-            left = left.withColumn("comp", F.col("node"))
+            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        found = scratch.save(confirm(pairs, texts, shingle, lower, percent), "pairs")
+        labels = contract(labels, found.where("linked").select("a", "b").distinct(), scratch)
+        left = active.select("bucket", "node", "n", "own", "inter", "single").join(picked.select("bucket", F.col("hub_node").alias("node")), ["bucket", "node"], "left_anti")
+        if tested is None:  # what each member shares with the first hub of its bucket; unknown where the pair was excluded
+            with_hub = left.drop("inter").join(picked.select("bucket", "hub_node"), "bucket")
+            with_hub = with_hub.withColumns({"a": F.least("hub_node", "node"), "b": F.greatest("hub_node", "node")})
+            shared = found.groupBy("a", "b").agg(F.max("both").alias("both"))
+            left = with_hub.join(shared, ["a", "b"], "left").withColumn("inter", F.when(F.col("single"), F.col("both")).otherwise(None).cast("long"))
+            left = left.select("bucket", "node", "n", "own", "inter", "single")
+        left = named_by(left, labels)
         mixed = left.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("bucket")
-        left = left.join(mixed, "bucket")
-        weights = left.groupBy("comp").agg(F.count("*").alias("weight"))
-        active = scratch.save(left.join(weights, "comp").select("bucket", "node", "comp", "weight", "n", "own"), "active")
-        first = False
+        active = scratch.save(left.join(mixed, "bucket"), "active")
+        tested = found if tested is None else tested.unionByName(found)
 
     named = classes.withColumn("comp", F.col("rep"))
     if labels is not None:
