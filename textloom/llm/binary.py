@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import partitions
-from .tokens import crc32, encoder
+from .tokens import ENCODE_BYTES, crc32, encoder
 from .vectext import text_slices
 
 MAGIC = b"TLB1"
@@ -151,7 +151,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, block_ids
             return pa.RecordBatch.from_arrays(cols, ["shard", "block", "n_docs", "n_tokens", "payload"])
 
         for batch in batches:
-            for i, j, text in text_slices(batch.column(1)):
+            for i, j, text in text_slices(batch.column(1), ENCODE_BYTES):
                 ids, before = encode(text)
                 for d, name in enumerate(batch.column(0).slice(i, j - i).to_pylist()):
                     own = ids[before[d] : before[d + 1]]

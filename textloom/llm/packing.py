@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .tokens import crc32, encoder
+from .tokens import ENCODE_BYTES, crc32, encoder
 from .vectext import text_slices
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
@@ -44,7 +44,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, wi
         encode = encoder(tokenizer).encode
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for i, j, text in text_slices(batch.column(1)):
+            for i, j, text in text_slices(batch.column(1), ENCODE_BYTES):
                 ids, before = encode(text)
                 names = batch.column(0).slice(i, j - i).to_pylist()
                 rows, kept = [], []

@@ -9,7 +9,9 @@ emptied when it reaches ``CACHE_CHUNKS`` chunks or ``CACHE_IDS`` ids.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from itertools import chain
 
 import numpy as np
 
@@ -17,6 +19,9 @@ from .vectext import Text
 
 CACHE_CHUNKS = 600_000
 CACHE_IDS = 6_000_000
+JOINED = 512
+ENCODE_BYTES = 1 << 20  # text encoded at once: more of it repeats than in a smaller slice
+_SIMPLE = re.compile(rb" (?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 _STOP = np.zeros(256, bool)
@@ -60,15 +65,25 @@ class Encoder:
     def _grown(self, a: np.ndarray, n: int) -> np.ndarray:
         return a if len(a) >= n else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
 
-    def _add(self, hashes: list[int], chunks: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-        lengths = np.array([len(x) for x in ids], np.int64)
-        n, total = self.n_slots + len(ids), self.n_ids + int(lengths.sum())
+    def _add(self, hashes: list[int], chunks: list[bytes]) -> None:
+        """Encodes new chunks. Chunks of a space and letters are one pre-token each, also behind one another, so they are
+        encoded as long texts whose ids the library numbers by pre-token; that is much cheaper than a call a chunk."""
+        is_simple = [_SIMPLE(c) is not None for c in chunks]
+        simple, other = ([i for i, x in enumerate(is_simple) if x is want] for want in (True, False))
+        groups = [simple[k : k + JOINED] for k in range(0, len(simple), JOINED)]
+        joined = self.tokenizer.encode_batch([b"".join(chunks[i] for i in g).decode() for g in groups], add_special_tokens=False)
+        found = joined + self.tokenizer.encode_batch_fast([chunks[i].decode() for i in other], add_special_tokens=False)
+        lengths = [np.bincount(e.word_ids, minlength=len(g)) for e, g in zip(joined, groups)]
+        if any(len(n) != len(g) or not n.all() for n, g in zip(lengths, groups)):
+            raise ValueError("the tokenizer does not split at single spaces")
+        ids = [e.ids for e in found]
+        lengths = np.concatenate([*lengths, np.array([len(x) for x in ids[len(groups) :]], np.int64)])
+        n, total = self.n_slots + len(lengths), self.n_ids + int(lengths.sum())
         self.start, self.length, self.flat = self._grown(self.start, n), self._grown(self.length, n), self._grown(self.flat, total)
         self.length[self.n_slots : n] = lengths
         self.start[self.n_slots : n] = self.n_ids + np.cumsum(lengths) - lengths
-        self.flat[self.n_ids : total] = np.fromiter((i for x in ids for i in x), np.uint32, total - self.n_ids)
-        self.slots.update(zip(hashes, range(self.n_slots, n)))
+        self.flat[self.n_ids : total] = np.fromiter(chain.from_iterable(ids), np.uint32, total - self.n_ids)
+        self.slots.update(zip([hashes[i] for i in (*simple, *other)], range(self.n_slots, n)))
         self.n_slots, self.n_ids = n, total
 
     def encode(self, text: Text) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +111,7 @@ class Encoder:
         if new:
             raw = data.tobytes()
             s, e = starts[at[new]].tolist(), ends[at[new]].tolist()
-            self._add([keys[i] for i in new], [raw[a:b].decode() for a, b in zip(s, e)])
+            self._add([keys[i] for i in new], [raw[a:b] for a, b in zip(s, e)])
             for i in new:
                 slots[i] = self.slots[keys[i]]
         chosen = np.array(slots, np.int64)[back.reshape(-1)]
