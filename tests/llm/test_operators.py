@@ -313,12 +313,19 @@ def test_sketch(docs, rows):
     after = {a: order[(k + 1) % len(order)] for k, a in enumerate(order)}
     out = sketch.edited_comparison(docs).collect()
     assert len(out) == len(rows)
+
+    def exact(t):
+        w = brute.words(t)
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
     for r in out:
         t, n = text[r["doc_id"]] or "", text[after[r["doc_id"]]] or ""
         edited = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
         assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        if len(t) > 2000:
-            assert 0.2 < r["near_edited"] < 0.95 and r["near_next"] < r["near_edited"]
+        mine = exact(t)
+        if len(mine) > 200:
+            for got, other in ((r["near_edited"], edited), (r["near_next"], n)):
+                assert abs(got - len(mine & exact(other)) / len(mine)) < 0.25
     same = collections.defaultdict(set)
     for r in out:
         same[text[r["doc_id"]]].add(r["fingerprint"])

@@ -52,14 +52,9 @@ def containment(a: np.ndarray, b: np.ndarray) -> float:
     return len(np.intersect1d(a, b, assume_unique=True)) / len(a) if len(a) else 0.0
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Containment of the smaller sketch in the larger one; two sketches that retain nothing tell nothing (0)."""
-    return len(np.intersect1d(a, b, assume_unique=True)) / min(len(a), len(b)) if len(a) and len(b) else 0.0
-
-
 def likenesses(pairs: list[tuple[str, str]]) -> list[float]:
-    """Likeness of fingerprints; equal ones are alike whatever they retain."""
-    return [1.0 if a == b else likeness(decode(a)[1], decode(b)[1]) for a, b in pairs]
+    """Estimated containment of each first fingerprint in the second; equal ones are alike (1) whatever they retain."""
+    return [1.0 if a == b else containment(decode(a)[1], decode(b)[1]) for a, b in pairs]
 
 
 def fingerprints(column: pa.Array, shingle: int = 5, fraction: float = 0.125) -> list[str]:
@@ -118,7 +113,8 @@ def chained(docs: DataFrame, runs_per_partition: int = 4) -> DataFrame:
 
 
 def edited_comparison(docs: DataFrame, shingle: int = 5, fraction: float = 0.125) -> DataFrame:
-    """Each document against an edited version of itself and against the next document in descending doc_id order.
+    """Each document against an edited version of itself and against the next document in descending doc_id order:
+    the share of its shingles that the other text has.
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many (or all) of the next one.
     """
