@@ -367,6 +367,13 @@ def test_suffix_tree_distributions_sum_to_one(docs):
     assert sum(len(e) for e, _ in small.entries.values()) <= 500
 
 
+def test_language_model_uses_every_retained_state(docs):
+    whole = {r["doc_id"]: r["score"] for r in suffixtree.score(docs, depth=3).collect()}
+    for max_entries in (0, 500):
+        out = {r["doc_id"]: r["score"] for r in suffixtree.score(docs, depth=3, max_entries=max_entries).collect()}
+        assert out.keys() == whole.keys() and all(abs(out[i] - whole[i]) < 1e-9 * abs(whole[i]) for i in whole)
+
+
 def test_symbols_follow_the_words():
     for _, _, text in text_slices(pa.array(["Ab  c\n", "", " d"])):
         w, d = suffixtree.symbols(text, 2)

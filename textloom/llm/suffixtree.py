@@ -2,11 +2,14 @@
 
 The text is the stream of its lower-cased (A-Z) words, one space between, and an end symbol; symbols are bytes. A state of
 the tree is a context of up to ``depth`` bytes. It is retained if it occurs ``min_count`` times and its next-symbol
-distribution diverges from that of the context one symbol shorter: count * KL >= ``min_gain`` nats. Should the tree then
-hold more than ``max_entries`` (state, next symbol) entries, the least frequent states go, by the smallest higher count
-that fits; that bounds what is sent to the executors. Distributions are smoothed recursively,
-P(x | s) = (n(s, x) + mu * P(x | next shorter state)) / (n(s) + mu), down to add-one bytes. A symbol is scored by
-the longest retained suffix of what stands before it.
+distribution diverges from that of the context one symbol shorter: count * KL >= ``min_gain`` nats. Distributions are
+smoothed recursively, P(x | s) = (n(s, x) + mu * P(x | next shorter state)) / (n(s) + mu), down to add-one bytes. A symbol
+is scored by the longest retained suffix of what stands before it.
+
+Every retained state is used. Sent to the executors are the most frequent ones, at most ``max_entries`` (state, next
+symbol) entries of them, and a bit filter of fixed size of the others. A window whose context may be one of the others is
+settled by a join of the distinct such windows with the table of those states. A context is never more frequent than
+its suffix, so the states sent never back off to one that isn't, and the others are applied last, shortest first.
 
 Counts cover every training text: packed (depth + 1)-byte windows and word hashes are counted a slice at a time,
 summed by key, and the shorter contexts are sums over those. Word counts are unbounded, so only the ``common`` most frequent words are sent; the rest of each
@@ -26,11 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .vectext import _LOWER, Text, list_array, signed, text_slices
+from .vectext import _LOWER, Text, list_array, mix, signed, text_slices
 
 _U = np.uint64
 SPACE, STOP = 32, 10
 END_WORD = -1  # key of the end token among word hashes
+FILTER_BITS = 1 << 27
 
 
 def symbols(text: Text, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -150,8 +154,43 @@ class Tree:
         return out
 
 
+def filter_bits(order: int, contexts: np.ndarray) -> list[np.ndarray]:
+    """The two bits of each state in the filter."""
+    h = mix(contexts | _U(order << 56))
+    return [h & _U(FILTER_BITS - 1), h >> _U(64 - FILTER_BITS.bit_length() + 1)]
+
+
+def state_filter(states: DataFrame) -> np.ndarray:
+    """The filter of (order, context) rows as 64-bit words; at most FILTER_BITS / 64 rows come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            orders, contexts = np.asarray(batch.column(0)), np.asarray(batch.column(1)).astype(_U)
+            bits = np.concatenate([b for k in np.unique(orders) for b in filter_bits(int(k), contexts[orders == k])] or [np.zeros(0, _U)])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(bits >> _U(6))), pa.array(signed(_U(1) << (bits & _U(63))))], ["word", "bit"])
+
+    words = states.select("order", "context").mapInArrow(run, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[np.asarray(words.column("word"))] = np.asarray(words.column("bit"))
+    return out.view(_U)
+
+
+def suspects(known: np.ndarray, windows: np.ndarray, order: int) -> np.ndarray:
+    """May the context of that order of each window be a state in the filter?"""
+    contexts = windows >> _U(8) & _U((1 << 8 * order) - 1)
+    out = np.ones(len(windows), bool)
+    for bits in filter_bits(order, contexts):
+        out &= (known[(bits >> _U(6)).astype(np.int64)] >> (bits & _U(63)) & _U(1)).astype(bool)
+    return out
+
+
 def learn(windows: DataFrame, depth: int, min_count: int, min_gain: float, mu: float, max_entries: int, scratch: Scratch) -> Tree:
-    """The tree from (key, n) of packed windows."""
+    """The tree of the most frequent states from (key, n) of packed windows."""
+    return grow(windows, depth, min_count, min_gain, mu, max_entries, scratch)[0]
+
+
+def grow(windows: DataFrame, depth: int, min_count: int, min_gain: float, mu: float, max_entries: int, scratch: Scratch) -> tuple[Tree, DataFrame | None]:
+    """The tree of the most frequent states and (order, context, total, next) of all other retained ones, if there are any."""
     mask = lambda c, bytes_: c.bitwiseAND(F.lit((1 << 8 * bytes_) - 1)) if bytes_ < 8 else c
     of = lambda t: t.select(F.shiftrightunsigned("key", 8).alias("context"), F.col("key").bitwiseAND(F.lit(255)).alias("symbol"), "n")
     tables = {}
@@ -175,9 +214,10 @@ def learn(windows: DataFrame, depth: int, min_count: int, min_gain: float, mu: f
         kept = kept.select(F.lit(order).alias("order"), "context", "total", "size")
         states = kept if states is None else states.unionByName(kept)
     states = scratch.save(states, "states")
-    least, room = 1 << 62, max_entries
+    least, room, whole = 1 << 62, max_entries, True
     for total, size in sorted(((r["total"], r["size"]) for r in states.groupBy("total").agg(F.sum("size").alias("size")).collect()), reverse=True):
         if size > room:
+            whole = False
             break
         least, room = total, room - size
     levels = {}
@@ -185,7 +225,36 @@ def learn(windows: DataFrame, depth: int, min_count: int, min_gain: float, mu: f
         kept = states.where((F.col("order") == order) & (F.col("total") >= least)).select("context")
         found = of(tables[order]).join(kept, "context").toArrow()  # at most max_entries rows over all orders
         levels[order] = tuple(np.asarray(found.column(c)).astype(t) for c, t in (("context", _U), ("symbol", _U), ("n", float)))
-    return Tree.build(depth, mu, base, levels)
+    tree = Tree.build(depth, mu, base, levels)
+    if whole:
+        return tree, None
+    others = None
+    for order in range(1, depth + 1):
+        kept = states.where((F.col("order") == order) & (F.col("total") < least)).select("order", "context", "total")
+        found = of(tables[order]).join(kept, "context").groupBy("order", "context", "total").agg(F.map_from_entries(F.collect_list(F.struct("symbol", "n"))).alias("next"))
+        others = found if others is None else others.unionByName(found)
+    return tree, scratch.save(others, "others")
+
+
+def settled(windows: DataFrame, sent, others: DataFrame) -> DataFrame:
+    """(window, p): probability of each of the distinct windows by all states."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, known, *_ = sent.value
+        for batch in batches:
+            w = np.asarray(batch.column(0)).astype(_U)
+            p = tree.probability(w)
+            for order in range(1, tree.depth + 1):
+                hit = suspects(known, w, order)
+                context = w[hit] >> _U(8) & _U((1 << 8 * order) - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(w[hit])), pa.array(p[hit]), pa.array(np.full(len(context), order, np.int32)), pa.array(signed(context))], ["window", "p", "order", "context"])
+
+    asked = windows.select("window").distinct().mapInArrow(run, "window long, p double, order int, context long")
+    n = F.coalesce(F.element_at("next", F.col("window").bitwiseAND(F.lit(255))), F.lit(0))
+    met = asked.join(others, ["order", "context"], "left").select("window", "p", F.struct("order", F.coalesce("total", F.lit(0)).alias("total"), n.alias("n")).alias("state"))
+    mu = F.lit(float(sent.value[0].mu))
+    step = lambda p, s: (s["n"] + mu * p) / (s["total"] + mu)
+    return met.groupBy("window").agg(F.first("p").alias("p"), F.array_sort(F.collect_list("state")).alias("states")).select("window", F.aggregate("states", F.col("p"), step).alias("p"))
 
 
 def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, depth: int = 5, min_count: int = 16, min_gain: float = 20.0, mu: float = 8.0, max_entries: int = 2_000_000, common: int = 1 << 19) -> DataFrame:
@@ -195,7 +264,8 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, depth: int = 5,
     docs = docs.select(F.col("doc_id").cast("long"), "text").withColumn("held_out", held_out(F.col("doc_id"), modulus, remainder))
     counted = scratch.save(counts(docs.where("not held_out"), depth), "counts")
     words = counted.where("word").select("key", "n")
-    tree = learn(counted.where("not word").select("key", "n"), depth, min_count, min_gain, mu, max_entries, scratch)
+    tree, others = grow(counted.where("not word").select("key", "n"), depth, min_count, min_gain, mu, max_entries, scratch)
+    known_others = None if others is None else state_filter(others)
     spectrum = sorted(((r["n"], r["m"]) for r in words.groupBy("n").agg(F.count("*").alias("m")).collect()), reverse=True)  # counts of counts
     total, distinct = sum(n * m for n, m in spectrum), sum(m for _, m in spectrum)
     limit, room = 1 << 62, common
@@ -205,16 +275,23 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, depth: int = 5,
         limit, room = n, room - m
     known = words.where(F.col("n") >= limit).toArrow()  # at most ``common`` rows
     order = np.argsort(np.asarray(known.column("key")))
-    sent = spark.sparkContext.broadcast((tree, np.asarray(known.column("key"))[order], np.asarray(known.column("n"))[order]))
+    sent = spark.sparkContext.broadcast((tree, known_others, np.asarray(known.column("key"))[order], np.asarray(known.column("n"))[order]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, keys, n = sent.value
+        tree, known_others, keys, n = sent.value
         for batch in batches:
             for i, j, text in text_slices(batch.column(1)):
                 size = j - i
                 windows, owner = symbols(text, tree.depth)
                 distinct_, back = np.unique(windows, return_inverse=True)
-                p = np.bincount(owner, weights=np.log10(tree.probability(distinct_))[back], minlength=size)
+                late = np.zeros(len(distinct_), bool)
+                for order in range(1, tree.depth + 1 if known_others is not None else 1):
+                    late |= suspects(known_others, distinct_, order)
+                p = np.bincount(owner, weights=np.where(late, 0, np.log10(tree.probability(distinct_)))[back], minlength=size)
+                wait = late[back]
+                pairs, times = np.unique(owner[wait] * len(distinct_) + back[wait], return_counts=True)
+                late_cuts = np.searchsorted(pairs, np.arange(1, size) * len(distinct_))
+                late_windows = signed(distinct_)[pairs % len(distinct_)]
                 h, d = word_keys(text)
                 h, d = np.concatenate([h, np.full(size, END_WORD)]), np.concatenate([d, np.arange(size)])
                 tokens = np.bincount(d, minlength=size)
@@ -225,12 +302,16 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, depth: int = 5,
                 rest_h, rest_d = h[~hit], d[~hit]
                 o = np.argsort(rest_d, kind="stable")
                 cuts = np.searchsorted(rest_d[o], np.arange(1, size))
-                yield pa.RecordBatch.from_arrays([*(c.slice(i, size) for c in (batch.column(0), batch.column(2))), pa.array(tokens), pa.array(seen), pa.array(logs), pa.array(p), list_array(np.split(rest_h[o], cuts), pa.int64())], ["doc_id", "held_out", "n_tokens", "seen", "logs", "score", "rest"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, size) for c in (batch.column(0), batch.column(2))), pa.array(tokens), pa.array(seen), pa.array(logs), pa.array(p), list_array(np.split(rest_h[o], cuts), pa.int64()), list_array(np.split(late_windows, late_cuts), pa.int64()), list_array(np.split(times, late_cuts), pa.int64())], ["doc_id", "held_out", "n_tokens", "seen", "logs", "score", "rest", "late", "times"])
 
-    scored = docs.select("doc_id", "text", "held_out").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, seen long, logs double, score double, rest array<long>")
+    scored = docs.select("doc_id", "text", "held_out").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, seen long, logs double, score double, rest array<long>, late array<long>, times array<long>")
     scored = scratch.save(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = words.where(F.col("n") < limit)
     rest = scored.select("row", F.explode("rest").alias("key")).join(rare, "key").groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("more_logs"))
-    joined = scored.drop("rest").join(rest, "row", "left")
+    joined = scored.drop("rest", "late", "times").join(rest, "row", "left")
+    if others is not None:
+        late = scored.select("row", F.explode(F.arrays_zip("late", "times")).alias("l")).select("row", F.col("l.late").alias("window"), F.col("l.times").alias("times"))
+        late = late.join(settled(late, sent, others), "window").groupBy("row").agg(F.sum(F.col("times") * F.log10("p")).alias("late_logs"))
+        joined = joined.join(late, "row", "left").withColumn("score", F.col("score") + F.coalesce("late_logs", F.lit(0.0))).drop("late_logs")
     base = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(total + distinct + 1)))
     return joined.select("doc_id", "held_out", "n_tokens", (F.col("seen") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
