@@ -140,6 +140,15 @@ def test_quality_rejects_depleted_and_keeps_copies(spark):
     assert all(out[100 + i]["kept"] for i in range(60))
 
 
+def test_quality_counts_pages_of_mostly_shared_lines(spark):
+    shared = [f"shared line {k} " + " ".join(f"w{k}x{j}" for j in range(9)) for k in range(8)]
+    pages = [(i, "\n".join([*shared, f"own line of page {i}"]), "h") for i in range(200)]
+    copies = [(1000 + i, "\n".join(f"copied line {k} " + " ".join(f"c{k}x{j}" for j in range(9)) for k in range(8)), "h") for i in range(200)]
+    out = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(pages + copies, "doc_id long, text string, source string")).collect()}
+    assert all(out[i]["n_lost_words"] == 96 and not out[i]["kept"] for i in range(200))
+    assert all(out[1000 + i]["n_lost_words"] == 0 and out[1000 + i]["kept"] for i in range(200))
+
+
 def test_quality_awkward(awkward, nothing):
     out = quality.judge(awkward).collect()
     assert len(out) == len(AWKWARD) and quality.judge(nothing).collect() == []

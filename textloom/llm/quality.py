@@ -4,10 +4,9 @@ The method hashes normalised lines (white space stripped at both ends, A-Z lower
 documents of a host (the ``source``) each line occurs, takes the lines above the limit away and rejects a document
 that is depleted: fewer than ``min_words`` words are left and less than ``min_share`` of what it had.
 
-Copies must not turn clean text into boilerplate, so copies count as one document: documents are counted by family,
-and documents with the same smallest line hash are one family, which nearly all copies of a text share whatever few
-lines were edited. A line is boilerplate only if it exceeds ``max_docs`` documents by that count and if at least half of
-the documents that hold it are different families. Deduplication proper is left to the later stages.
+Copies must not turn clean text into boilerplate, so exact copies count as one document: those of one host whose sets of
+normalised lines are equal. A line is boilerplate if it exceeds ``max_docs`` documents by that count. Copies with edited
+lines are documents of their own here. Deduplication proper is left to the later stages.
 
 Defined results: null text has no words and fails; rows with equal doc_id are judged each on its own text; a null
 source is a host of its own; other columns are ignored.
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .vectext import Text, list_array, shingles, signed, text_slices
+from .vectext import Text, list_array, mix, shingles, signed, text_slices
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -74,7 +73,7 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """Base statistics, a hash of the text and, of each distinct worded line, its hash and words; ``family`` is the smallest line hash."""
+    """Base statistics, a hash of the text and, of each distinct worded line, its hash and words; ``line_set`` is a hash of the set of lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,10 +94,11 @@ def profiles(docs: DataFrame) -> DataFrame:
                 total = np.add.reduceat(words, at) if len(at) else words[:0]
                 cuts = np.searchsorted(ld[at], np.arange(1, j - i))
                 hs, ws_ = np.split(h[at], cuts), np.split(total, cuts)
-                family = [int(x[0]) if len(x) else None for x in hs]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in range(3)), *(pa.array(stats[k].astype(np.int64)) for k in STATS), pa.array(family, pa.int64()), list_array(hs, pa.int64()), list_array(ws_, pa.int64())], ["doc_id", "source", "text_hash", *STATS, "family", "lines", "line_words"])
+                with np.errstate(over="ignore"):
+                    sets = signed(np.array([mix(x.view(np.uint64)).sum(dtype=np.uint64) for x in hs], np.uint64))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in range(3)), *(pa.array(stats[k].astype(np.int64)) for k in STATS), pa.array(sets), list_array(hs, pa.int64()), list_array(ws_, pa.int64())], ["doc_id", "source", "text_hash", *STATS, "line_set", "lines", "line_words"])
 
-    schema = "doc_id long, source string, text_hash long, " + ", ".join(f"{k} long" for k in STATS) + ", family long, lines array<long>, line_words array<long>"
+    schema = "doc_id long, source string, text_hash long, " + ", ".join(f"{k} long" for k in STATS) + ", line_set long, lines array<long>, line_words array<long>"
     return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text").mapInArrow(run, schema)
 
 
@@ -106,13 +106,12 @@ def judge(docs: DataFrame, max_docs: int = 20, min_words: int = 20, min_share: f
     """One row a document: doc_id, the base statistics, n_lost_words, base_failed, kept."""
     scratch = Scratch(docs.sparkSession)
     found = scratch.save(profiles(docs).withColumn("row", F.monotonically_increasing_id()), "profiles")
-    lines = found.select("row", F.coalesce("source", F.lit("")).alias("host"), F.col("source").isNull().alias("nohost"), "family", F.explode(F.arrays_zip("lines", "line_words")).alias("l"))
-    lines = lines.select("row", "host", "nohost", "family", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
+    lines = found.select("row", F.coalesce("source", F.lit("")).alias("host"), F.col("source").isNull().alias("nohost"), "line_set", F.explode(F.arrays_zip("lines", "line_words")).alias("l"))
+    lines = lines.select("row", "host", "nohost", "line_set", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
     key = ["host", "nohost", "line"]
-    families = lines.groupBy(*key, "family").agg(F.count("*").alias("n"))
-    frequent = families.groupBy(*key).agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_rows")).where((F.col("n_docs") > max_docs) & (2 * F.col("n_docs") >= F.col("n_rows")))
+    frequent = lines.select(*key, "line_set").distinct().groupBy(*key).agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > max_docs)
     lost = lines.join(frequent.select(*key), key).groupBy("row").agg(F.sum("words").alias("n_lost_words"))
-    out = found.drop("lines", "line_words", "family", "source", *[] if text_hash else ["text_hash"]).join(lost, "row", "left").drop("row").withColumn("n_lost_words", F.coalesce("n_lost_words", F.lit(0)))
+    out = found.drop("lines", "line_words", "line_set", "source", *[] if text_hash else ["text_hash"]).join(lost, "row", "left").drop("row").withColumn("n_lost_words", F.coalesce("n_lost_words", F.lit(0)))
     out = out.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")))
     rest = F.col("n_words") - F.col("n_lost_words")
     depleted = (F.col("n_lost_words") > 0) & (rest < min_words) & (rest < min_share * F.col("n_words"))
