@@ -1,8 +1,8 @@
 """A training corpus from ``documents``: quality rules, line dedup, near-dedup, mixing, packing.
 
 Each stage takes the table the one before it wrote and returns a DataFrame; ``run`` writes every stage as Parquet in the
-shared folder and reads it again. Rejected documents, repeated lines and near copies are gone for the later
-stages; the mix drops documents and repeats others; the last stage returns packed pieces.
+shared folder and reads it again. Rejected documents, lines frequent in a source, repeated lines and near copies are gone
+for the later stages; the mix drops documents and repeats others; the last stage returns packed pieces.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from textloom.llm.common import Scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.accepted(docs)
+    return quality.accepted(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -149,6 +149,15 @@ def test_quality_counts_pages_of_mostly_shared_lines(spark):
     assert all(out[1000 + i]["n_lost_words"] == 0 and out[1000 + i]["kept"] for i in range(200))
 
 
+def test_quality_takes_frequent_lines_away(spark):
+    own = [f"page {i} says " + " ".join(f"w{i}x{j}" for j in range(40)) for i in range(30)]
+    pages = [(i, f" Home | News \n\n{own[i]}\nCookie é notice\nhome | NEWS", "h", i) for i in range(30)]
+    other = [(i, f"Home | News\n{own[i]}", "other", i) for i in range(3)]
+    out = quality.accepted(spark.createDataFrame(pages + other, "doc_id long, text string, source string, extra long"))
+    assert out.columns == ["doc_id", "text", "source", "extra"]
+    assert sorted(map(tuple, out.collect())) == sorted([(i, f"\n{own[i]}", "h", i) for i in range(30)] + other)
+
+
 def test_quality_awkward(awkward, nothing):
     out = quality.judge(awkward).collect()
     assert len(out) == len(AWKWARD) and quality.judge(nothing).collect() == []

@@ -79,6 +79,13 @@ def test_stages(spark, small):
     assert got == collections.Counter({i: sizes[i] * n for i, n in fourth.items()})
 
 
+def test_frequent_lines_do_not_pass_the_first_stage(spark):
+    own = [f"page {i} says " + " ".join(f"w{i}x{j}" for j in range(40)) for i in range(30)]
+    pages = spark.createDataFrame([(i, f"Home | News\n{t}", "h", 0) for i, t in enumerate(own)], "doc_id long, text string, source string, n_chars long")
+    out = corpus_pipeline.quality_rules(spark, pages, "").collect()
+    assert {(r["doc_id"], r["text"], r["n_chars"]) for r in out} == {(i, t, len(t)) for i, t in enumerate(own)}
+
+
 def test_run_and_empty_table(spark, small, tmp_path):
     assert corpus_pipeline.run(spark, small).count() > 0
     empty = spark.read.parquet(f"{small}/documents.parquet").limit(0)

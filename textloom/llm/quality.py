@@ -2,7 +2,8 @@
 
 The method hashes normalised lines (white space stripped at both ends, A-Z lower-cased), counts in how many distinct
 documents of a host (the ``source``) each line occurs, takes the lines above the limit away and rejects a document
-that is depleted: fewer than ``min_words`` words are left and less than ``min_share`` of what it had.
+that is depleted: fewer than ``min_words`` words are left and less than ``min_share`` of what it had. ``judge`` gives the
+verdicts, ``accepted`` the documents that stay, without those lines.
 
 Copies must not turn clean text into boilerplate, so exact copies count as one document: those of one host whose sets of
 normalised lines are equal. A line is boilerplate if it exceeds ``max_docs`` documents by that count. Copies with edited
@@ -20,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import Scratch
 from .vectext import Text, list_array, mix, shingles, signed, text_slices
@@ -102,26 +104,55 @@ def profiles(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text").mapInArrow(run, schema)
 
 
-def judge(docs: DataFrame, max_docs: int = 20, min_words: int = 20, min_share: float = 0.2, max_repeat_percent: int = 30, text_hash: bool = False) -> DataFrame:
-    """One row a document: doc_id, the base statistics, n_lost_words, base_failed, kept."""
+def judge(docs: DataFrame, max_docs: int = 20, min_words: int = 20, min_share: float = 0.2, max_repeat_percent: int = 30, with_lines: bool = False) -> DataFrame:
+    """One row a document: doc_id, the base statistics, n_lost_words, base_failed, kept; ``with_lines`` adds source, text_hash and lost_lines."""
     scratch = Scratch(docs.sparkSession)
     found = scratch.save(profiles(docs).withColumn("row", F.monotonically_increasing_id()), "profiles")
     lines = found.select("row", F.coalesce("source", F.lit("")).alias("host"), F.col("source").isNull().alias("nohost"), "line_set", F.explode(F.arrays_zip("lines", "line_words")).alias("l"))
     lines = lines.select("row", "host", "nohost", "line_set", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
     key = ["host", "nohost", "line"]
     frequent = lines.select(*key, "line_set").distinct().groupBy(*key).agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > max_docs)
-    lost = lines.join(frequent.select(*key), key).groupBy("row").agg(F.sum("words").alias("n_lost_words"))
-    out = found.drop("lines", "line_words", "line_set", "source", *[] if text_hash else ["text_hash"]).join(lost, "row", "left").drop("row").withColumn("n_lost_words", F.coalesce("n_lost_words", F.lit(0)))
+    lost = lines.join(frequent.select(*key), key).groupBy("row").agg(F.sum("words").alias("n_lost_words"), *[F.collect_list("line").alias("lost_lines")] * with_lines)
+    out = found.drop("lines", "line_words", "line_set", *[] if with_lines else ["source", "text_hash"]).join(lost, "row", "left").drop("row").withColumn("n_lost_words", F.coalesce("n_lost_words", F.lit(0)))
     out = out.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")))
     rest = F.col("n_words") - F.col("n_lost_words")
     depleted = (F.col("n_lost_words") > 0) & (rest < min_words) & (rest < min_share * F.col("n_words"))
     return out.withColumn("kept", ~F.col("base_failed") & ~depleted)
 
 
+def without_lines(rows: DataFrame) -> DataFrame:
+    """rows with the lines whose hashes are in ``lost_lines`` taken out of ``text``; the column ``lost_lines`` goes."""
+    names = [c for c in rows.columns if c != "lost_lines"]
+    schema = StructType([f for f in rows.schema if f.name != "lost_lines"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lost, column = batch.column("lost_lines"), batch.column("text")
+            hit = np.flatnonzero(np.asarray(lost.is_valid()))
+            if len(hit):
+                cleaned, gone = column.to_pylist(), lost.take(pa.array(hit)).to_pylist()
+                for i, j, text in text_slices(column.take(pa.array(hit))):
+                    ls, le, ld = text.lines()
+                    s, e = text.stripped(ls, le)
+                    h = signed(text.hash_ranges(s, e, lower=True))
+                    cuts = np.searchsorted(ld, np.arange(j - i + 1))
+                    for k in range(j - i):
+                        own = np.arange(cuts[k], cuts[k + 1])
+                        stay = own[~(np.isin(h[own], gone[i + k]) & (e[own] > s[own]))]
+                        cleaned[hit[i + k]] = b"\n".join(text.data[ls[x] : le[x]].tobytes() for x in stay).decode()
+                column = pa.array(cleaned, column.type)
+            yield pa.RecordBatch.from_arrays([column if c == "text" else batch.column(c) for c in names], names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def accepted(docs: DataFrame, **limits) -> DataFrame:
-    """The rows of docs that are kept, unchanged. Equal texts of one doc_id share their verdict."""
-    marked = docs.withColumn("__text", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("__id", F.col("doc_id").cast("long"))
-    verdicts = judge(docs, text_hash=True, **limits)
-    rejected = verdicts.groupBy("doc_id", "text_hash").agg(F.bool_or("kept").alias("kept")).where("not kept")
-    gone = marked["__id"].eqNullSafe(rejected["doc_id"]) & (marked["__text"] == rejected["text_hash"])
-    return marked.join(rejected, gone, "left_anti").select(docs.columns)
+    """The rows of docs that are kept, without the lines above the limit; all other columns are unchanged."""
+    key = {"__id": F.col("doc_id").cast("long"), "__host": F.col("source").cast("string"), "__text": F.xxhash64(F.coalesce("text", F.lit("")))}
+    verdicts = judge(docs, with_lines=True, **limits).where("not kept or lost_lines is not null")
+    # Rows equal in all three have one verdict.
+    changed = verdicts.groupBy("doc_id", F.col("source").alias("host"), "text_hash").agg(F.first("kept").alias("__kept"), F.first("lost_lines").alias("lost_lines"))
+    marked = docs.withColumns(key)
+    same = marked["__id"].eqNullSafe(changed["doc_id"]) & marked["__host"].eqNullSafe(changed["host"]) & (marked["__text"] == changed["text_hash"])
+    stay = marked.join(changed, same, "left").where(F.coalesce("__kept", F.lit(True)))
+    return without_lines(stay.select(*[marked[c] for c in docs.columns], "lost_lines"))
