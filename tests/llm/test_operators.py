@@ -357,6 +357,25 @@ def test_sketch_estimates_containment():
     assert len(sketch.merge(x, y)) <= len(x) + len(y)
 
 
+def test_sketch_of_short_texts(spark):
+    words = [f"w{k}" for k in range(5000)]
+    texts = ["some text", "other words", "a b c d e f", "g h i j k l", " ".join(words[:12]), " ".join(words[:400]), " ".join(words[10:22]), " ".join(words)]
+    rows = list(enumerate(texts))[::-1]
+    out = {r["doc_id"]: r for r in sketch.edited_comparison(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+    def exact(t):
+        w = brute.words(t)
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)}
+
+    for k, t in enumerate(texts):
+        n, mine = texts[k - 1], exact(t)
+        edited = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
+        if len(mine) <= 256:
+            assert out[k]["near_edited"] == len(mine & exact(edited)) / len(mine)
+            assert out[k]["near_next"] == len(mine & exact(n)) / len(mine)
+    assert len({r["fingerprint"] for r in out.values()}) == len(texts)
+
+
 def test_sketch_awkward(awkward, nothing):
     assert sketch.edited_comparison(awkward).count() == len(AWKWARD)
     assert sketch.edited_comparison(nothing).collect() == []

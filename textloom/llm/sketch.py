@@ -3,9 +3,12 @@
 A sketch retains every hash of the text's distinct word shingles that lies below a fixed fraction of the hash range, so
 its size follows the document, sketches of the same fraction merge by union, and the share of one sketch found in
 another estimates containment even between very unequal documents. Retained hashes are below 2^32 * fraction and are
-written as eight hex digits each, ascending, after the number of distinct shingles: ``"12:0a3f..."``.
+written as eight hex digits each, ascending, after the number of distinct shingles and a hash of their whole set:
+``"12:<16 digits>:0a3f..."``. A text of at most ``WHOLE`` distinct shingles retains all its hashes. Two fingerprints are
+compared in full if both do, else at the fixed fraction; ``edited_comparison`` has the texts and takes a short one's
+share in a longer one from their full sets.
 
-Defined results: null text is empty, its fingerprint is ``"0:"``; a text of fewer words than a shingle has its whole
+Defined results: null text is empty, its fingerprint has 0 shingles and no hash; a text of fewer words than a shingle has its whole
 word sequence as one; rows with equal doc_id are ordered by text, null doc_ids come last; other columns are ignored.
 """
 
@@ -22,9 +25,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import partitions
-from .vectext import shingle_sets, text_slices
+from .vectext import mix, shingle_sets, text_slices
 
 _U = np.uint64
+WHOLE = 256
 
 
 def retained(values: np.ndarray, fraction: float) -> np.ndarray:
@@ -33,12 +37,14 @@ def retained(values: np.ndarray, fraction: float) -> np.ndarray:
     return np.unique(top[top < _U(int(fraction * (1 << 32)))]).astype(np.uint32)
 
 
-def encode(n: int, kept: np.ndarray) -> str:
-    return f"{n}:{kept.astype('>u4').tobytes().hex()}"
+def encode(values: np.ndarray, fraction: float) -> str:
+    """Fingerprint of a set of shingle hashes."""
+    whole = int(mix(values ^ _U(WHOLE)).sum(dtype=_U))
+    return f"{len(values)}:{whole:016x}:{retained(values, 1.0 if len(values) <= WHOLE else fraction).astype('>u4').tobytes().hex()}"
 
 
 def decode(fingerprint: str) -> tuple[int, np.ndarray]:
-    n, _, kept = fingerprint.partition(":")
+    n, _, kept = fingerprint.split(":")
     return int(n), np.frombuffer(bytes.fromhex(kept), ">u4").astype(np.uint32)
 
 
@@ -52,16 +58,36 @@ def containment(a: np.ndarray, b: np.ndarray) -> float:
     return len(np.intersect1d(a, b, assume_unique=True)) / len(a) if len(a) else 0.0
 
 
-def likenesses(pairs: list[tuple[str, str]]) -> list[float]:
-    """Estimated containment of each first fingerprint in the second; equal ones are alike (1) whatever they retain."""
-    return [1.0 if a == b else containment(decode(a)[1], decode(b)[1]) for a, b in pairs]
+def likeness(a: str, b: str, fraction: float) -> float:
+    if a == b:
+        return 1.0
+    (n, x), (m, y) = decode(a), decode(b)
+    if max(n, m) > WHOLE:
+        x, y = (v[v < int(fraction * (1 << 32))] for v in (x, y))
+    return containment(x, y)
+
+
+def likenesses(pairs: list[tuple[str, str]], fraction: float = 0.125) -> list[float]:
+    """Containment of each first fingerprint in the second, estimated unless both are whole; equal sets are alike (1)."""
+    return [likeness(a, b, fraction) for a, b in pairs]
+
+
+def compared_in_full(texts: list[str], others: list[str], pairs: list[tuple[str, str]], shingle: int, fraction: float) -> list[float]:
+    """likenesses of the pairs; those of a whole fingerprint in one that isn't are taken from the texts."""
+    out = likenesses(pairs, fraction)
+    sizes = [[int(f.partition(":")[0]) for f in p] for p in pairs]
+    at = [k for k, (n, m) in enumerate(sizes) if 0 < n <= WHOLE < m]
+    sets = [[v for _, _, t in text_slices(pa.array([side[k] for k in at], pa.large_string())) for v in shingle_sets(t, shingle, lower=False)] for side in (texts, others)]
+    for k, x, y in zip(at, *sets):
+        out[k] = containment(x, y)
+    return out
 
 
 def fingerprints(column: pa.Array, shingle: int = 5, fraction: float = 0.125) -> list[str]:
     """Fingerprint of each text of an Arrow string array."""
     out: list[str] = []
     for _, _, text in text_slices(column):
-        out += [encode(len(v), retained(v, fraction)) for v in shingle_sets(text, shingle, lower=False)]
+        out += [encode(v, fraction) for v in shingle_sets(text, shingle, lower=False)]
     return out
 
 
@@ -142,7 +168,7 @@ def edited_comparison(docs: DataFrame, shingle: int = 5, fraction: float = 0.125
         edited = [t[: len(t) - len(t) // 2] + n[0][: len(t) // 2] for t, n in zip(texts, nexts)]
         changed = fingerprints(pa.array(edited, pa.large_string()), shingle, fraction)
         hashes = [hashlib.sha256(t.encode()).hexdigest() for t in edited]
-        cols = [pa.array([m[1] for m in mine], pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array(hashes, pa.string()), pa.array(own, pa.string()), pa.array(changed, pa.string()), pa.array(likenesses(list(zip(own, changed)))), pa.array(likenesses(list(zip(own, other))))]
+        cols = [pa.array([m[1] for m in mine], pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array(hashes, pa.string()), pa.array(own, pa.string()), pa.array(changed, pa.string()), pa.array(compared_in_full(texts, edited, list(zip(own, changed)), shingle, fraction)), pa.array(compared_in_full(texts, [n[0] for n in nexts], list(zip(own, other)), shingle, fraction))]
         return pa.RecordBatch.from_arrays(cols, ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
     return chained(docs).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
