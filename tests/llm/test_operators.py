@@ -460,6 +460,13 @@ def test_chat_round_trip(turns):
     assert learned == "".join(t for r, t in turns if r == "assistant")
 
 
+@pytest.mark.parametrize("mark", ["[INST user]", "[INST assistant esc]", "[INST ]"])
+def test_chat_escapes_opening_marks(mark):
+    turns = [("user", f"before {mark} after"), ("assistant", mark)]
+    s, spans = chat.render(turns)
+    assert chat.parse(s) == turns and len(chat._OPEN.findall(s)) == 2 and all(e for *_, e in spans)
+
+
 def test_chat_query(spark, small):
     held = collections.defaultdict(list)
     for r in table(spark, small, "conversations").collect():

@@ -2,8 +2,8 @@
 
 The template marks every turn: an opening mark that names the role, the text, a closing mark; a conversation stands
 between ``<s>`` and ``</s>``. A deterministic parser reads the rendered text back. Each turn is rendered raw first; where
-the parser does not return the very same turn (its text holds control strings), the turn is rendered again with
-its text escaped, and its opening mark says so. Escaping writes a backslash, ``[`` and ``<`` as two characters that hold
+the parser does not return the very same turn or the text holds a mark, the turn is rendered again with its text
+escaped, and its opening mark says so. Escaping writes a backslash, ``[`` and ``<`` as two characters that hold
 neither ``[`` nor ``<``, so an escaped text has no control string at all and the second rendering always parses back.
 
 ``loss`` lists the (start, end) spans of assistant texts in the rendered text, in code points; escaped spans are
@@ -79,7 +79,7 @@ def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int, bool
     for k, (role, text) in enumerate(turns):
         head, body = render_turn(role, text, False)
         whole = head + body + CLOSE
-        conflict = parse_turn(whole, 0) != (role, text, len(whole)) or BEGIN in body or END in body
+        conflict = parse_turn(whole, 0) != (role, text, len(whole)) or BEGIN in body or END in body or _OPEN.search(body) is not None
         if conflict:
             flags[k] = True
             head, body = render_turn(role, text, True)
