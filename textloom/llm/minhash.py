@@ -8,12 +8,18 @@ Shingles that no other document in a shared bucket has bound what two documents
 shingles its own, a document meets one of m shingles in at most n - u, so 100 * (n - u) < percent * (u + m) proves
 the two unlinked. Documents proven unlinked to all members of a bucket leave it before any pair is made.
 
-Candidates are stars, so their number follows the rows of a bucket, never its square: every round picks a few hubs
-in each bucket that still holds several components (first the member with the smallest share of own shingles, the
-likely origin of the others, then members of all components but the largest) and pairs them with the members of other
-components. Pairs are confirmed on the full shingle sets of the whole texts, confirmed links are contracted to
-components, and hubs leave their bucket, since they have met all its members. Rounds go on until every bucket holds one
-component, so no pair that shares a bucket goes untested unless it is proven unlinked or joined already.
+Candidates are stars: every bucket pairs one hub, the member with the smallest share of own shingles and so the likely
+origin of the others, with its other members. Their number follows the rows of the buckets, never its square. Pairs are
+confirmed on the full shingle sets and confirmed links contracted to components.
+
+Buckets that still hold several components are settled exactly, without pairing their members. Their nodes are
+described by what sets them apart from one reference, the hub with most links in the bucket's largest component: the
+difference D of the two sets. |x - y| of two nodes is |Dx - Dy| (symmetric differences), and a node that isn't
+linked to the reference has a large D, so whoever is linked to it must share a stated number of elements of D with it. Both
+therefore hold one common element among the first few of their D, rarest first (prefix and position filters of
+set similarity joins). A join on those rare elements gives the last candidates, which are confirmed in the same way. What
+all copies share is in no D, so a large group of copies makes no large key. No pair that shares a bucket goes untested
+unless it is proven unlinked or joined already.
 
 Defined results: null or blank text has an empty set and is linked with nothing; rows that share a doc_id are one
 document (a link of either text counts); a null doc_id is linked with nothing, gets a null component and is kept.
@@ -26,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +41,8 @@ from .vectext import _STEP, list_array, mix, shingle_sets, signed, text_slices
 
 _U = np.uint64
 MAX_BROADCAST_IDS = 1_000_000
+SET_VALUES = 1 << 19  # shingles taken apart at once
+BLOCK = 128
 
 
 class OnePermutation:
@@ -85,53 +94,143 @@ def signatures(docs: DataFrame, shingle: int, lower: bool, bands: int, rows: int
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, buckets array<long>")
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, lower: bool, percent: int) -> DataFrame:
-    """a, b, both, linked: shingles in common of the full sets, and is 100 * both >= percent * union?"""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (np.asarray(batch.column(i)) for i in (0, 1))
-            both, linked = np.zeros(len(a), np.int64), np.zeros(len(a), bool)
-            hub_rows = np.ones(len(a), bool)  # a hub's text is taken apart once in a run of its pairs
-            hub_rows[1:] = a[1:] != a[:-1]
-            left = {}
-            for i, j, text in text_slices(batch.column(2).filter(pa.array(hub_rows))):
-                left.update(zip(range(i, j), shingle_sets(text, shingle, lower)))
-            hub_of = np.cumsum(hub_rows) - 1
-            for i, j, text in text_slices(batch.column(3)):
-                for row, other in zip(range(i, j), shingle_sets(text, shingle, lower)):
-                    mine = left[hub_of[row]]
-                    both[row] = len(np.intersect1d(mine, other, assume_unique=True))
-                    linked[row] = both[row] > 0 and 100 * both[row] >= percent * (len(mine) + len(other) - both[row])
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(both), pa.array(linked)], ["a", "b", "both", "linked"])
-
-    members = pairs.join(texts.withColumnRenamed("doc_id", "b").withColumnRenamed("text", "text_b"), "b")
-    rows = members.join(texts.withColumnRenamed("doc_id", "a").withColumnRenamed("text", "text_a"), "a")
-    return rows.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, both long, linked boolean")
-
-
 def matching(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs with one of the ids. Only a counted, small set is broadcast; a larger one is a shuffled join."""
     small = ids.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
     return docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
 
 
-def own_shingles(texts: DataFrame, shingle: int, lower: bool) -> DataFrame:
-    """(node, own): the number of shingles that only this one of the texts has; nodes without any are absent."""
+def full_sets(docs: DataFrame, shingle: int, lower: bool) -> DataFrame:
+    """(node, v, shingles): the sorted distinct shingle hashes of each text as bytes, and a hash of that set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.asarray(batch.column(0))
             for i, j, text in text_slices(batch.column(1)):
                 sets = shingle_sets(text, shingle, lower)
-                nodes = np.repeat(ids[i:j], [len(s) for s in sets])
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(sets))), pa.array(nodes)], ["shingle", "node"])
+                v = np.array([s.sum(dtype=_U) for s in sets], _U)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(signed(v)), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "v", "shingles"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "node long, v long, shingles binary")
+
 
-    rows = texts.select("doc_id", "text").mapInArrow(run, "shingle long, node long")
+def own_shingles(sets: DataFrame) -> DataFrame:
+    """(node, own): the number of shingles that only this one of the nodes has; nodes without any are absent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(1)
+            sizes = np.asarray(pc.binary_length(column), np.int64) // 8
+            ends = np.cumsum(sizes)
+            at = 0
+            while at < len(sizes):  # some MB at a time
+                end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SET_VALUES, side="right")))
+                flat = np.frombuffer(b"".join(column.slice(at, end - at).to_pylist()), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(np.asarray(batch.column(0))[at:end], sizes[at:end]))], ["shingle", "node"])
+                at = end
+
+    rows = sets.select("node", "shingles").mapInArrow(run, "shingle long, node long")
     alone = rows.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other")
     return alone.groupBy("node").agg(F.count("*").alias("own"))
 
 
+def in_blocks(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, block, kind, id, v, shingles) of pairs (a, b): in each block of about ``BLOCK`` partners b (kind 1) of one a,
+    the rows of a itself (kind 0) come first, so a set is sent once a block and however many partners one a has,
+    they are spread over many tasks."""
+    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+    dealt = pairs.join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"), "b")
+    rows = lambda p, kind, on: p.join(sets.withColumnRenamed("node", on), on).select("a", "block", F.lit(kind).alias("kind"), F.col(on).alias("id"), "v", "shingles")
+    both = rows(dealt.select("a", "block").distinct(), 0, "a").unionByName(rows(dealt, 1, "b"))
+    return both.repartition("a", "block").sortWithinPartitions("a", "block", "kind", "v")
+
+
+def runs_of_one_head(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray], list[int], list[int], list[np.ndarray]]]:
+    """(a, sets of a, partner ids, their v, their sets) of rows ordered as ``in_blocks`` leaves them, a batch and block at a time."""
+    held, heads = None, []
+    for batch in batches:
+        a, block, kind, ids, v, sets = (c.to_pylist() for c in batch.columns)
+        start = 0
+        for k in range(len(a) + 1):
+            new = k < len(a) and (a[k], block[k]) != held
+            if (new or k == len(a)) and k > start:
+                own = [x for x in range(start, k) if kind[x]]
+                heads += [np.frombuffer(sets[x], _U) for x in range(start, k) if not kind[x]]
+                if own:
+                    yield held[0], heads, [ids[x] for x in own], [v[x] for x in own], [np.frombuffer(sets[x], _U) for x in own]
+            if new:
+                held, heads, start = (a[k], block[k]), [], k
+
+
+def places(head: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Position in the sorted head of each value, and whether it is there."""
+    at = np.minimum(np.searchsorted(head, values), max(0, len(head) - 1))
+    return at, head[at] == values if len(head) else np.zeros(len(values), bool)
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: those of the pairs with 100 * common >= percent * union of the full sets; of several sets of one node any may link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, heads, ids, _, own in runs_of_one_head(batches):
+            sizes = np.array([len(s) for s in own], np.int64)
+            owner, flat = np.repeat(np.arange(len(own)), sizes), np.concatenate(own)
+            linked = np.zeros(len(own), bool)
+            for head in heads:
+                both = np.bincount(owner[places(head, flat)[1]], minlength=len(own))
+                linked |= (both > 0) & (100 * both >= percent * (len(head) + sizes - both))
+            found = np.unique(np.array(ids, np.int64)[linked])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), a)), pa.array(found)], ["a", "b"])
+
+    return in_blocks(pairs, sets).mapInArrow(run, "a long, b long")
+
+
+def differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(ref, node, v, n, n_ref, d, linked, apart) of (a: reference, b: node): the elements that only one of both sets has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, heads, ids, v, own in runs_of_one_head(batches):
+            head = heads[0]  # any set will do as a reference, but the same one in all blocks
+            apart, linked = [], []
+            for s in own:
+                at, hit = places(head, s)
+                rest = np.ones(len(head), bool)
+                rest[at[hit]] = False
+                apart.append(signed(np.concatenate([s[~hit], head[rest]])))
+                both = int(hit.sum())
+                linked.append(both > 0 and 100 * both >= percent * (len(head) + len(s) - both))
+            n = len(own)
+            cols = [pa.array(np.full(n, a)), pa.array(ids, pa.int64()), pa.array(v, pa.int64()), pa.array([len(s) for s in own], pa.int64()), pa.array(np.full(n, len(head))), pa.array([len(x) for x in apart], pa.int64()), pa.array(linked, pa.bool_()), list_array(apart, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["ref", "node", "v", "n", "n_ref", "d", "linked", "apart"])
+
+    return in_blocks(members, sets).mapInArrow(run, "ref long, node long, v long, n long, n_ref long, d long, linked boolean, apart array<long>")
+
+
+def settling_pairs(apart: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs of nodes of different ``comp`` beside one reference that can be linked, of which one isn't linked to it.
+
+    With D the difference from the reference and s = 100 + percent, two linked nodes x, y share an overlap o of
+    2 * s * o >= s * (dx + dy) - (100 - percent) * (nx + ny). Elements of one node only are first in its order and need no rows.
+    """
+    s, r = 100 + percent, 100 - percent
+    key = ["ref", "node", "v"]
+    rows = apart.select(*key, F.explode("apart").alias("e"))
+    common = rows.groupBy("ref", "e").agg(F.count("*").alias("c")).where("c > 1")
+    listed = rows.join(common, ["ref", "e"]).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("c", "e"))).alias("items"))  # at most one document's shingles
+    listed = apart.drop("apart").join(listed, key).withColumn("skipped", F.col("d") - F.size("items"))
+    least_any = f"greatest(1, cast(floor(({s} * d + {r} * (n_ref - n)) / {2 * s}) as long) + 1)"  # shared with any node that isn't linked to the reference
+    least_probe = f"greatest(1, cast(ceil(d - n * {r} / {percent}) as long))"  # shared by such a node with any other
+
+    def prefix(rows: DataFrame, least: str, side: str) -> DataFrame:
+        kept = rows.withColumn("few", F.expr(f"slice(items, 1, cast(greatest(0, d - {least} + 1 - skipped) as int))"))
+        kept = kept.select("ref", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "comp", "n", "d", "skipped")], F.posexplode("few").alias("at", "item"))
+        return kept.select("ref", F.col("item.e").alias("e"), F.col("item.c").alias(f"c_{side}"), *[f"{c}_{side}" for c in ("node", "comp", "n", "d")], (F.col(f"d_{side}") - F.col(f"skipped_{side}") - F.col("at")).alias(f"left_{side}"))
+
+    probe, index = prefix(listed.where("not linked"), least_probe, "x"), prefix(listed, least_any, "y")
+    can = f"comp_x <> comp_y and {2 * s} * least(left_x, left_y) >= {s} * (d_x + d_y) - {r} * (n_x + n_y)"
+    met = probe.join(index, ["ref", "e"]).where(can)
+    return met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+
+
 def contract(labels: DataFrame | None, edges: DataFrame, scratch: Scratch) -> DataFrame | None:
     """Labels (node, comp) joined along the edges (a, b): every component gets its smallest label.
 
@@ -178,11 +277,11 @@ def named_by(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, lower: bool = True, bands: int = 48, rows: int = 6, hubs: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, lower: bool = True, bands: int = 48, rows: int = 6) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (smallest doc_id linked to it by any chain), kept.
 
     ``shingle`` words a shingle, a link needs ``percent`` of the union in common. ``bands`` x ``rows`` sets the recall:
-    a pair at the threshold 0.8 meets in some bucket but for about 5e-7. ``hubs`` are tested a bucket and round.
+    a pair at the threshold 0.8 meets in some bucket but for about 5e-7.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -194,12 +293,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, lower:
     shared = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket")
     met = scratch.save(members.join(shared, "bucket").distinct(), "met")
     nodes = scratch.save(met.select(F.col("node").alias("doc_id")).distinct(), "nodes")
-    texts = scratch.save(matching(docs, nodes), "texts")
-    own = own_shingles(texts, shingle, lower)
-    sizes = rows_.join(nodes, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("node")).agg(F.max("n_shingles").alias("n"), F.min("n_shingles").alias("n_low"), (F.min("s1") == F.max("s1")).alias("single"))
+    sets = scratch.save(full_sets(matching(docs, nodes), shingle, lower).distinct(), "sets")
+    sizes = sets.groupBy("node").agg(F.max(F.length("shingles") / 8).cast("long").alias("n"), F.min(F.length("shingles") / 8).cast("long").alias("n_low"), (F.count("*") == 1).alias("single"))
     # A doc_id with several texts gets no bound from its own shingles.
-    sizes = sizes.join(own, "node", "left").select("node", "n", F.when(F.col("single"), F.coalesce("own", F.lit(0))).otherwise(0).alias("own"), "n_low", "single")
-    sizes = scratch.save(sizes, "sizes")
+    sizes = scratch.save(sizes.join(own_shingles(sets), "node", "left").select("node", "n", F.when(F.col("single"), F.coalesce("own", F.lit(0))).otherwise(0).alias("own"), "n_low"), "sizes")
     active = met.join(sizes, "node")
     smallest = active.groupBy("bucket").agg(F.min("n_low").alias("least"))
     common = F.col("n") - F.col("own")
@@ -210,43 +307,29 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, lower:
 
     # Rows of one document with several texts are joined from the start, by edges between its classes.
     several = rows_.where("n_shingles > 0 and doc_id is not null").join(classes, ["s1", "s2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    own = several.join(classes.select(F.col("rep").alias("a")).distinct(), "a", "left_semi").distinct()
-    labels = contract(None, own, scratch)
-    active = named_by(active.withColumn("inter", F.lit(None).cast("long")), labels)
-    tested = None
-    while active.take(1):
-        if tested is None:
-            picked = active.groupBy("bucket").agg(F.min_by(F.struct("node", "comp", "n", "own", "inter"), F.struct(F.col("own") / F.col("n"), "node")).alias("h"))
-        else:
-            # Of every pair of components one isn't the bucket's largest: hubs are members of the others, one of each of
-            # ``hubs`` classes of nodes.
-            largest = active.groupBy("bucket", "comp").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.max(F.struct("m", "comp")).alias("top"))
-            others = active.join(largest, "bucket").where(F.col("comp") != F.col("top.comp"))
-            kind = F.pmod(F.xxhash64("node"), F.lit(hubs)).alias("kind")
-            picked = others.groupBy("bucket", kind).agg(F.min(F.struct("node", "comp", "n", "own", "inter")).alias("h"))
-        picked = scratch.save(picked.select("bucket", *[F.col(f"h.{c}").alias(f"hub_{c}") for c in ("node", "comp", "n", "own", "inter")]), "hubs")
-        # What two members can share: neither's own shingles; and, by their parts inside and outside the bucket's first
-        # hub, the smaller inside part and the smaller shared outside part.
-        meets = """a.bucket = h.bucket and a.comp <> h.hub_comp and
-            100 * least(a.n - a.own, h.hub_n - h.hub_own, coalesce(least(a.inter, h.hub_inter) + least(a.n - a.own - a.inter, h.hub_n - h.hub_own - h.hub_inter), a.n))
-            >= PERCENT * (a.n + h.hub_n - least(a.n - a.own, h.hub_n - h.hub_own, coalesce(least(a.inter, h.hub_inter) + least(a.n - a.own - a.inter, h.hub_n - h.hub_own - h.hub_inter), a.n)))"""
-        met = active.alias("a").join(picked.alias("h"), F.expr(meets.replace("PERCENT", str(percent))))
-        pairs = met.select(F.least("hub_node", "node").alias("a"), F.greatest("hub_node", "node").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        found = scratch.save(confirm(pairs, texts, shingle, lower, percent), "pairs")
-        labels = contract(labels, found.where("linked").select("a", "b").distinct(), scratch)
-        left = active.select("bucket", "node", "n", "own", "inter", "single").join(picked.select("bucket", F.col("hub_node").alias("node")), ["bucket", "node"], "left_anti")
-        if tested is None:  # what each member shares with the first hub of its bucket; unknown where the pair was excluded
-            with_hub = left.drop("inter").join(picked.select("bucket", "hub_node"), "bucket")
-            with_hub = with_hub.withColumns({"a": F.least("hub_node", "node"), "b": F.greatest("hub_node", "node")})
-            shared = found.groupBy("a", "b").agg(F.max("both").alias("both"))
-            left = with_hub.join(shared, ["a", "b"], "left").withColumn("inter", F.when(F.col("single"), F.col("both")).otherwise(None).cast("long"))
-            left = left.select("bucket", "node", "n", "own", "inter", "single")
-        left = named_by(left, labels)
-        mixed = left.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("bucket")
-        active = scratch.save(left.join(mixed, "bucket"), "active")
-        tested = found if tested is None else tested.unionByName(found)
+    edges = several.join(classes.select(F.col("rep").alias("a")).distinct(), "a", "left_semi").distinct()
+
+    # Stars: one hub a bucket.
+    hubs = active.groupBy("bucket").agg(F.min_by(F.struct("node", "n", "own"), F.struct(F.col("own") / F.col("n"), "node")).alias("h"))
+    shares = "least(n - own, h.n - h.own)"
+    stars = active.join(hubs, "bucket").where(f"node <> h.node and 100 * {shares} >= {percent} * (n + h.n - {shares})")
+    links = scratch.save(confirm(stars.select(F.col("h.node").alias("a"), F.col("node").alias("b")).distinct(), sets, percent), "stars")
+    labels = contract(None, edges.unionByName(links), scratch)
+
+    # Buckets of several components: one reference each, then the pairs that the differences from it leave possible.
+    left = scratch.save(named_by(active.select("bucket", "node"), labels), "left")
+    mixed = left.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("bucket")
+    left = scratch.save(left.join(mixed, "bucket"), "mixed")
+    if left.take(1):
+        largest = left.groupBy("bucket", "comp").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.max(F.struct("m", "comp")).alias("top")).select("bucket", F.col("top.comp").alias("comp"))
+        degree = named_by(links.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("m")), labels).groupBy("comp").agg(F.max(F.struct("m", "node")).alias("hub"))
+        refs = left.groupBy("comp").agg(F.min("node").alias("node")).join(degree, "comp", "left").select("comp", F.coalesce("hub.node", "node").alias("ref"))
+        of = largest.join(refs, "comp").select("bucket", "ref")
+        beside = left.join(of, "bucket").where("node <> ref").select(F.col("ref").alias("a"), F.col("node").alias("b")).distinct()
+        apart = scratch.save(differences(beside, sets, percent), "apart")
+        pairs = settling_pairs(named_by(apart, labels), percent)
+        more = scratch.save(confirm(pairs, sets, percent), "settled")
+        labels = contract(labels, more.unionByName(apart.where("linked").select(F.col("ref").alias("a"), F.col("node").alias("b"))).distinct(), scratch)
 
     named = classes.withColumn("comp", F.col("rep"))
     if labels is not None:
