@@ -232,6 +232,21 @@ def test_near_duplicates_in_a_large_group(spark):
     assert got == brute.components(made, 2, 80)
 
 
+def test_near_duplicates_of_outliers_and_several_texts(spark):
+    """Pairs beside a large group that are linked to each other only; a doc_id whose second text links it elsewhere."""
+    rng = np.random.default_rng(4)
+    base = [f"w{k}" for k in range(150)]
+    made = [(i, " ".join(x if rng.random() > 0.03 else f"y{rng.integers(1 << 40)}" for x in base)) for i in range(60)]
+    for i in range(100, 120, 2):
+        far = [x if rng.random() > 0.13 else f"y{rng.integers(1 << 40)}" for x in base]
+        made += [(i, " ".join(far)), (i + 1, " ".join([*far[:-1], "end"]))]
+    rows = [*made, (300, " ".join(base)), (300, "quite another text " * 3 + "of id 300"), (301, "quite another text " * 3 + "of id 300 too"), (302, "nothing of that kind")]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2).collect()}
+    joined = {i: c for i, (_, c) in brute.components([*made, (300, rows[-4][1]), (1000, rows[-3][1]), (301, rows[-2][1]), (302, rows[-1][1])], 2, 80).items()}
+    assert joined.pop(1000) == joined[301] == 301 and len({joined[i] for i in range(100, 120)}) > 5
+    assert got == joined | {301: joined[300]}
+
+
 def test_near_duplicates_awkward(awkward, nothing):
     out = minhash.near_duplicates(awkward, shingle=2).collect()
     assert len(out) == len(AWKWARD) and minhash.near_duplicates(nothing).collect() == []
@@ -274,6 +289,38 @@ def test_line_index_is_reversible(spark):
     assert {r["doc_id"]: r["n_dropped"] for r in every} == {0: 1, 1: 1, 2: 1, 3: 1, 9: 1, 10: 0}
 
 
+def test_line_index_counts_changes_only(spark, monkeypatch):
+    """Inserts and deletes give what a new index has; one shard of the filters a pass finds the same losses."""
+    text = lambda i: "\n".join(f"this is line number {k} which is longer than forty characters" for k in range(i % 5, i % 5 + 6))
+    rows = [(i, text(i)) for i in range(30)]
+    frame = lambda part: spark.createDataFrame(part, "doc_id long, text string")
+    index = linededup.LineIndex.build(frame(rows[:12]), shards=7).insert(frame(rows[9:])).delete(frame(rows[3:20:4]))
+    kept = [r for r in rows if r not in rows[3:20:4]]
+    new = linededup.LineIndex.build(frame(kept), shards=7)
+    told = lambda x: {r["doc_id"]: set(zip(r["keys"], r["keys2"])) for r in x.losses().collect()}
+    assert sorted(index.counts.collect()) == sorted(new.counts.collect()) and told(index) == told(new) == told(index.compact())
+    monkeypatch.setattr(linededup, "FILTER_BYTES", 1)
+    assert len(new._passes()) > 1 and told(new) == told(index)
+
+
+def thue_morse(n, a, b):
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a
+
+
+@pytest.mark.parametrize("n", [512, 1024, 4096])
+def test_structured_words_have_hashes_of_their_own(spark, n, tokenizer):
+    """Words that collide in a polynomial modulo a power of two: ids, repeated lines and dropped lines stay right."""
+    x, y = thue_morse(n, "a", "b"), thue_morse(n, "b", "a")
+    rows = [(1, f"{x} {y} {x}"), (2, f"{x}\n{y}\n{x}")]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), tokens.default_tokenizer(), capacity=8192).collect()
+    assert {r["doc_id"]: r["ids_crc32"] for r in out} == {i: brute.crc([*tokenizer.encode(t, add_special_tokens=False).ids, 0]) for i, t in rows}
+    assert quality.base_stats(next(text_slices(pa.array([rows[1][1]])))[2])["n_dup_lines"].tolist() == [1]
+    lines = spark.createDataFrame([(i, x if i < 3 else y) for i in range(6)], "doc_id long, text string")
+    assert linededup.LineIndex.build(lines, min_docs=5).losses().count() == 0
+
+
 def test_line_dedup_awkward(awkward, nothing):
     out = linededup.LineIndex.build(awkward).dedup(awkward)
     assert out.count() == len(AWKWARD) and set(awkward.columns) <= set(out.columns)

@@ -165,7 +165,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, block_ids
         if names:
             yield flush()
 
-    n = partitions(spark)
+    n = partitions(docs)
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     ordered.mapInArrow(run, BLOCK_SCHEMA).write.option("compression", "zstd").parquet(path)
     return read(spark, path)

@@ -16,9 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is named (as in tests) a local one is set."""
+    """The cluster's shared folder; where none is named a local one is set, but in local mode only."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="textloom-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
@@ -63,8 +65,22 @@ class Scratch:
             self.drop(self.root)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def partitions(docs: DataFrame, each: int = 64 << 20) -> int:
+    """Partitions for all texts of docs: as Spark is set, or more where its estimate of the bytes (a file's size, mostly)
+    asks for it. Estimates of tables that aren't files say nothing and are left aside."""
+    held = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(held, -(-size // each)) if size < 1 << 60 else held
+
+
+BROADCAST_ROWS = 1_000_000
+
+
+def chosen(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "left_semi") -> DataFrame:
+    """rows that have one of the keys (or, by "left_anti", none). Only a counted, small set is broadcast; a larger one is
+    a shuffled join."""
+    small = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(keys) if small else keys, on, how)
 
 
 def seeded(*cols, seed: int = 0):

@@ -36,11 +36,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, chosen
 from .vectext import _STEP, list_array, mix, shingle_sets, signed, text_slices
 
 _U = np.uint64
-MAX_BROADCAST_IDS = 1_000_000
 SET_VALUES = 1 << 19  # shingles taken apart at once
 BLOCK = 128
 
@@ -94,12 +93,6 @@ def signatures(docs: DataFrame, shingle: int, lower: bool, bands: int, rows: int
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, buckets array<long>")
 
 
-def matching(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs with one of the ids. Only a counted, small set is broadcast; a larger one is a shuffled join."""
-    small = ids.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
-
-
 def full_sets(docs: DataFrame, shingle: int, lower: bool) -> DataFrame:
     """(node, v, shingles): the sorted distinct shingle hashes of each text as bytes, and a hash of that set."""
 
@@ -293,7 +286,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, lower:
     shared = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket")
     met = scratch.save(members.join(shared, "bucket").distinct(), "met")
     nodes = scratch.save(met.select(F.col("node").alias("doc_id")).distinct(), "nodes")
-    sets = scratch.save(full_sets(matching(docs, nodes), shingle, lower).distinct(), "sets")
+    sets = scratch.save(full_sets(chosen(docs, nodes, ["doc_id"]), shingle, lower).distinct(), "sets")
     sizes = sets.groupBy("node").agg(F.max(F.length("shingles") / 8).cast("long").alias("n"), F.min(F.length("shingles") / 8).cast("long").alias("n_low"), (F.count("*") == 1).alias("single"))
     # A doc_id with several texts gets no bound from its own shingles.
     sizes = scratch.save(sizes.join(own_shingles(sets), "node", "left").select("node", "n", F.when(F.col("single"), F.coalesce("own", F.lit(0))).otherwise(0).alias("own"), "n_low"), "sizes")

@@ -113,7 +113,8 @@ def chained(docs: DataFrame, runs_per_partition: int = 4) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    wanted = max(1, runs_per_partition * partitions(spark))
+    parts = partitions(docs)
+    wanted = max(1, runs_per_partition * parts)
     ids = docs.select("doc_id")
     found = ids.where("doc_id is not null").agg(F.percentile_approx("doc_id", F.lit([k / wanted for k in range(1, wanted)]) if wanted > 1 else F.lit([0.5]), 10 * wanted)).first()[0]
     cuts = sorted({int(x) for x in found or []})  # at most one value a run
@@ -135,7 +136,7 @@ def chained(docs: DataFrame, runs_per_partition: int = 4) -> DataFrame:
     named = F.broadcast(heads.withColumnRenamed("doc_id", "head"))  # one row a run
     behind = docs.join(named, docs["doc_id"].eqNullSafe(named["head"])).groupBy("run", "head").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
     both = runs.select("run", F.lit(0).alias("extra"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).unionByName(behind.select("run", F.lit(1).alias("extra"), F.col("head").alias("doc_id"), "text"))
-    return both.repartition(partitions(spark), "run").sortWithinPartitions("run", "extra", F.col("doc_id").desc_nulls_last(), "text")
+    return both.repartition(parts, "run").sortWithinPartitions("run", "extra", F.col("doc_id").desc_nulls_last(), "text")
 
 
 def edited_comparison(docs: DataFrame, shingle: int = 5, fraction: float = 0.125) -> DataFrame:

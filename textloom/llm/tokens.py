@@ -2,7 +2,7 @@
 
 A byte-level BPE pre-tokenizer never joins a letter run across (a) a single space between two visible characters
 or (b) an ASCII letter followed by one of ``.,!?;:``. Cutting there, in bytes, cannot change the ids; the chunks repeat
-heavily, so a bounded per-worker cache from chunk hash to ids replaces most of the encoding work. The cache is
+heavily, so a bounded per-worker cache from chunk hash (95 bits) to ids replaces most of the encoding work. The cache is
 emptied when it reaches ``CACHE_CHUNKS`` chunks or ``CACHE_IDS`` ids.
 """
 
@@ -60,12 +60,13 @@ class Encoder:
         self.slots: dict[int, int] = {}
         self.n_slots = self.n_ids = 0
         self.start, self.length = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.check = np.zeros(1024, np.uint64)
         self.flat = np.zeros(4096, np.uint32)
 
     def _grown(self, a: np.ndarray, n: int) -> np.ndarray:
         return a if len(a) >= n else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
 
-    def _add(self, hashes: list[int], chunks: list[bytes]) -> None:
+    def _add(self, hashes: list[int], checks: np.ndarray, chunks: list[bytes]) -> None:
         """Encodes new chunks. Chunks of a space and letters are one pre-token each, also behind one another, so they are
         encoded as long texts whose ids the library numbers by pre-token; that is much cheaper than a call a chunk."""
         is_simple = [_SIMPLE(c) is not None for c in chunks]
@@ -79,7 +80,8 @@ class Encoder:
         ids = [e.ids for e in found]
         lengths = np.concatenate([*lengths, np.array([len(x) for x in ids[len(groups) :]], np.int64)])
         n, total = self.n_slots + len(lengths), self.n_ids + int(lengths.sum())
-        self.start, self.length, self.flat = self._grown(self.start, n), self._grown(self.length, n), self._grown(self.flat, total)
+        self.start, self.length, self.check, self.flat = self._grown(self.start, n), self._grown(self.length, n), self._grown(self.check, n), self._grown(self.flat, total)
+        self.check[self.n_slots : n] = checks[[*simple, *other]]
         self.length[self.n_slots : n] = lengths
         self.start[self.n_slots : n] = self.n_ids + np.cumsum(lengths) - lengths
         self.flat[self.n_ids : total] = np.fromiter(chain.from_iterable(ids), np.uint32, total - self.n_ids)
@@ -103,18 +105,19 @@ class Encoder:
         cut[bounds[:-1][bounds[:-1] < len(data)]] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(data))
-        hashes, at, back = np.unique(text.hash_ranges(starts, ends), return_index=True, return_inverse=True)
-        keys = hashes.tolist()
+        first, second = text.strong_ranges(starts, ends)
+        hashes, at, back = np.unique(first, return_index=True, return_inverse=True)
+        keys, checks = hashes.tolist(), second[at]
         get = self.slots.get
-        slots = [get(h, -1) for h in keys]
-        new = [i for i, s in enumerate(slots) if s < 0]
-        if new:
+        slots = np.array([get(h, -1) for h in keys], np.int64)
+        new = np.flatnonzero((slots < 0) | (self.check[slots] != checks))  # unknown, or another chunk's entry
+        if len(new):
             raw = data.tobytes()
             s, e = starts[at[new]].tolist(), ends[at[new]].tolist()
-            self._add([keys[i] for i in new], [raw[a:b] for a, b in zip(s, e)])
+            self._add([keys[i] for i in new], checks[new], [raw[a:b] for a, b in zip(s, e)])
             for i in new:
                 slots[i] = self.slots[keys[i]]
-        chosen = np.array(slots, np.int64)[back.reshape(-1)]
+        chosen = slots[back.reshape(-1)]
         lengths = self.length[chosen]
         done = np.zeros(len(chosen) + 1, np.int64)
         np.cumsum(lengths, out=done[1:])

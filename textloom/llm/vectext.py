@@ -5,8 +5,9 @@ handful of array passes instead of a Python loop over words. Batches are cut int
 bytes (or one document, when that is longer), which bounds the working memory at roughly forty times the slice.
 
 A word is a maximal run of bytes other than space and 0x09-0x0D. These are ASCII, so splitting bytes equals
-splitting code points. Hashes are 64-bit: a polynomial over random byte values, read from one running sum, then
-finished with a full-avalanche mixer.
+splitting code points. Hashes are 64-bit: polynomials over random byte values, read from running sums, in two lanes,
+one modulo 2^64 and one modulo the prime 2^31 - 1 (without which structured words, such as Thue-Morse words, would meet), then
+finished with a full-avalanche mixer. Where 64 bits are too few, the second lane is given beside them.
 """
 
 from __future__ import annotations
@@ -29,6 +30,11 @@ _STEP = _RNG.integers(1 << 62, 1 << 63, 64, dtype=np.int64).astype(_U) * _U(2) +
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, _U), np.ones(1, _U))
+_PRIME = (1 << 31) - 1
+_PRIME_BASE = int(_RNG.integers(1 << 29, _PRIME))
+_PRIME_VALUES = _RNG.integers(1, _PRIME, 256, dtype=np.int64).astype(_U)
+_PRIME_LOWER = _PRIME_VALUES[_LOWER]
+_prime_powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, _U), np.ones(1, _U))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -55,12 +61,29 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
+def _prime_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the second lane's base and of its inverse, modulo the prime."""
+    global _prime_powers
+    if len(_prime_powers[0]) <= n:
+        size = max(n + 1, SLICE_BYTES + 1)
+        tables = []
+        for base in (_PRIME_BASE, pow(_PRIME_BASE, -1, _PRIME)):
+            t = np.ones(size, _U)
+            k = 1
+            while k < size:  # the first k powers give the next k
+                t[k : 2 * k] = t[: min(k, size - k)] * _U(pow(base, k, _PRIME)) % _U(_PRIME)
+                k *= 2
+            tables.append(t)
+        _prime_powers = tables[0], tables[1]
+    return _prime_powers
+
+
 class Text:
     """The bytes of consecutive documents, with the byte range of each."""
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray):
         self.data, self.bounds = data, bounds
-        self._sums: dict[bool, np.ndarray] = {}
+        self._sums: dict[bool, tuple[np.ndarray, np.ndarray]] = {}
 
     def __len__(self) -> int:
         return len(self.bounds) - 1
@@ -68,20 +91,35 @@ class Text:
     def doc(self, i: int) -> bytes:
         return self.data[self.bounds[i] : self.bounds[i + 1]].tobytes()
 
+    def _running(self, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Running sums of both lanes before each byte."""
+        if lower not in self._sums:
+            n = len(self.data)
+            sums, prime = np.empty(n + 1, _U), np.empty(n + 1, _U)
+            sums[0] = prime[0] = 0
+            np.multiply((_VALUES_LOWER if lower else _VALUES)[self.data], _power_tables(n)[0][:n], out=sums[1:])
+            np.cumsum(sums[1:], out=sums[1:])
+            term = (_PRIME_LOWER if lower else _PRIME_VALUES)[self.data]
+            term *= _prime_tables(n)[0][:n]
+            np.bitwise_and(term, _U(_PRIME), out=prime[1:])
+            term >>= _U(31)
+            prime[1:] += term  # congruent and below 2^32
+            np.cumsum(prime[1:], out=prime[1:])
+            self._sums[lower] = sums, prime
+        return self._sums[lower]
+
+    def strong_ranges(self, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """64-bit hashes of the byte ranges, and 31 bits more; ``lower`` folds A-Z first."""
+        with np.errstate(over="ignore"):
+            sums, prime = self._running(lower)
+            n = len(self.data)
+            second = (prime[ends] - prime[starts]) % _U(_PRIME) * _prime_tables(n)[1][starts] % _U(_PRIME)
+            first = (sums[ends] - sums[starts]) * _power_tables(n)[1][starts]
+            return mix(first + second * _STEP[1] + (ends - starts).astype(_U) * _STEP[0]), second
+
     def hash_ranges(self, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
         """64-bit hashes of the byte ranges; ``lower`` folds A-Z first."""
-        with np.errstate(over="ignore"):
-            if lower not in self._sums:
-                up, _ = _power_tables(len(self.data))
-                sums = np.empty(len(self.data) + 1, _U)
-                sums[0] = 0
-                np.multiply((_VALUES_LOWER if lower else _VALUES)[self.data], up[: len(self.data)], out=sums[1:])
-                np.cumsum(sums[1:], out=sums[1:])
-                self._sums[lower] = sums
-            sums = self._sums[lower]
-            _, down = _power_tables(len(self.data))
-            h = (sums[ends] - sums[starts]) * down[starts]
-            return mix(h + (ends - starts).astype(_U) * _STEP[0])
+        return self.strong_ranges(starts, ends, lower)[0]
 
     def code_points_before(self) -> np.ndarray:
         """Running number of code points before each byte position."""
