@@ -197,6 +197,28 @@ def test_mixing_awkward(awkward, nothing):
     assert mixing.mixed(awkward).columns == awkward.columns
 
 
+def test_mixing_clashing_names_ties_and_repeats(spark):
+    names = ["n", "rest", "extra", "edge", "whole", "s3", "z3", "m", "ahead", "s", "z", "target", "taken", "Size", "source_size"]
+    rows = [(i % 40, f"w{i % 3} " * (i % 7 + 1), f"s{i % 2}" if i % 5 else None) for i in range(400)]
+    docs = spark.createDataFrame([(*r, *[1] * len(names)) for r in rows], "doc_id long, text string, source string, " + ", ".join(f"{n} long" for n in names))
+    out = mixing.mix(docs).select("doc_id", "source", "size", "taken").collect()
+    assert len(out) == 400 and sorted(out, key=str) == sorted(mixing.mix(docs.repartition(5)).select("doc_id", "source", "size", "taken").collect(), key=str)
+    mixed = mixing.mixed(docs)
+    assert mixed.columns == docs.columns
+    got = collections.Counter()
+    for r in mixed.collect():
+        got[r["doc_id"], r["source"]] += len(brute.words(r["text"]))
+    want = collections.Counter()
+    for r in out:
+        want[r["doc_id"], r["source"]] += r["taken"]
+    assert got == collections.Counter({k: v for k, v in want.items() if v})
+
+
+def test_targets_of_many_sources():
+    got = mixing.targets([1] * 200_000, [float(i % 3 + 1) for i in range(200_000)], 3)
+    assert abs(sum(got) - 200_000) < 1e-3
+
+
 @given(st.dictionaries(st.integers(1, 50), st.integers(1, 30), min_size=1, max_size=12), st.floats(0, 1))
 @settings(max_examples=100, deadline=None)
 def test_fit_reaches_the_best_sum(histogram, share):

@@ -11,8 +11,11 @@ One source's histogram has at most as many rows as there are distinct sizes, so
 documents the source holds. Ranks within a size are found in two levels (counts of 1,024 hash ranges, then ranks
 inside the one range that the limit cuts), so a size shared by very many documents is no single task.
 
+Working columns have names of their own beginning with ``__mix_``; columns that docs brings are only passed through.
+
 Defined results: null text has size 0; a null source is a source, last in order; size-0 documents take 0; repeated
-rows are separate documents, and equal ones are interchangeable; other columns are passed through.
+rows are separate documents, ordered by doc_id and text, and equal ones are interchangeable; other columns are passed
+through, but for ``text`` and columns of the results' names.
 """
 
 from __future__ import annotations
@@ -21,28 +24,32 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, seeded
 from .vectext import text_slices
 
-MAX_SOURCES = 1_000_000
 RANGES = 1024
 
 
+P = "__mix_"  # of working columns
+SOURCE, SIZE, HASH, RANGE, TEXT = (P + x for x in ("source", "size", "hash", "range", "text"))
+
+
 def word_sizes(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` columns and ``size``, the words of the whole text."""
-    schema = docs.select(*keep).schema.add("size", "long")
+    """``keep`` columns, the words of the whole text (``__mix_size``) and a hash of the text."""
+    given = docs.select(*keep, F.xxhash64("text").alias(TEXT), "text")
+    schema = given.drop("text").schema.add(SIZE, "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = np.zeros(batch.num_rows, np.int64)
-            for i, j, text in text_slices(batch.column(len(keep))):
+            for i, j, text in text_slices(batch.column(len(keep) + 1)):
                 sizes[i:j] = np.bincount(text.words()[2], minlength=j - i)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(sizes)], [*keep, "size"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep) + 1], pa.array(sizes)], [*keep, TEXT, SIZE])
 
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    return given.mapInArrow(run, schema)
 
 
 def targets(sizes: list[int], weights: list[float], max_repeat: int) -> list[float]:
@@ -59,7 +66,8 @@ def targets(sizes: list[int], weights: list[float], max_repeat: int) -> list[flo
         for i in above:
             out[i] = float(max_repeat * sizes[i])
             left -= out[i]
-        open_ = [i for i in open_ if i not in set(above)]
+        gone = set(above)
+        open_ = [i for i in open_ if i not in gone]
     return out
 
 
@@ -114,17 +122,15 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: int, window: int) -> np.n
 def mix(docs: DataFrame, weight: Callable[[int], float] = lambda i: float(i % 3 + 1), max_repeat: int = 3, seed: int = 7, window: int = 20_000) -> DataFrame:
     """docs' columns but text, plus size, source_size, target and taken (words, repeats counted).
 
-    ``weight`` gives the weight of the i-th source in code point order.
+    ``weight`` gives the weight of the i-th source in code point order. The driver holds three numbers a source.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
     clash = ("text", "size", "source_size", "target", "taken")
-    keep = [c for c in docs.columns if c not in clash]
-    sized = scratch.save(word_sizes(docs, keep), "sizes")
-    histogram = scratch.save(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "histogram")
-    totals = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("total")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    keep = [c for c in docs.columns if c.lower() not in clash]
+    sized = scratch.save(word_sizes(docs, keep).withColumn(SOURCE, F.col("source").cast("string")), "sizes")
+    histogram = scratch.save(sized.groupBy(F.col(SOURCE).alias("source"), F.col(SIZE).alias("size")).agg(F.count("*").alias("n")), "histogram")
+    totals = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("total")).collect()  # one row a source
     totals.sort(key=lambda r: (r["source"] is None, r["source"]))
     aims = targets([r["total"] for r in totals], [weight(i) for i in range(len(totals))], max_repeat)
     plan = spark.createDataFrame([(r["source"], r["total"], t) for r, t in zip(totals, aims)], "source string, source_size long, target double")
@@ -142,34 +148,45 @@ def mix(docs: DataFrame, weight: Callable[[int], float] = lambda i: float(i % 3
 
     asked = histogram.join(plan, histogram["source"].eqNullSafe(plan["source"])).select(histogram["source"], "size", "n", "source_size", "target")
     solved = scratch.save(asked.groupBy("source").applyInArrow(solve, "source string, size long, source_size long, target double, whole long, extra long, n long"), "solved")
-    return choose(sized, solved, [F.coalesce("source", F.lit("")), F.col("source").isNull(), F.col("size")], seed, scratch).select(*keep, "size", "source_size", "target", "taken")
-
-
-def choose(sized: DataFrame, solved: DataFrame, group: list[Column], seed: int, scratch: Scratch) -> DataFrame:
-    """Marks the ``extra`` documents of each (source, size) that come first in the seeded order."""
-    same = lambda a, b: a["source"].eqNullSafe(b["source"]) & (a["size"] == b["size"])
-    docs = sized.withColumn("__h", seeded(F.col("doc_id"), seed=seed)).withColumn("__r", F.pmod("__h", F.lit(RANGES)))
-    some = solved.where("extra > 0 and extra < n")
-    # Counts of the hash ranges in those groups that are cut, then the range in which each limit falls.
-    ranges = docs.join(some, same(docs, some), "left_semi").groupBy("source", "size", "__r").agg(F.count("*").alias("m"))
-    before = Window.partitionBy("source", "size").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("ahead", F.coalesce(F.sum("m").over(before), F.lit(0)))
-    cut = ranges.join(some.select(F.col("source").alias("s2"), F.col("size").alias("z2"), "extra"), F.col("source").eqNullSafe(F.col("s2")) & (F.col("size") == F.col("z2")))
-    cut = cut.where("ahead < extra and ahead + m >= extra").select("source", "size", F.col("__r").alias("edge"), (F.col("extra") - F.col("ahead")).alias("rest"))
-    edges = scratch.save(solved.alias("s").join(cut.alias("c"), F.expr("s.source <=> c.source and s.size = c.size"), "left").select("s.*", "edge", "rest"), "edges")
-    e = edges.select(F.col("source").alias("s3"), F.col("size").alias("z3"), "source_size", "target", "whole", "extra", "n", "edge", "rest")
-    named = docs.join(e, docs["source"].eqNullSafe(e["s3"]) & (docs["size"] == e["z3"])).drop("s3", "z3")
-    inside = F.col("edge").isNotNull() & (F.col("__r") == F.col("edge"))
-    rest = named.where(~inside).withColumn("__one", F.when(F.col("extra") >= F.col("n"), 1).when(F.col("edge").isNotNull() & (F.col("__r") < F.col("edge")), 1).otherwise(0))
-    rank = Window.partitionBy("source", "size").orderBy("__h", "doc_id")
-    edge = named.where(inside).withColumn("__one", (F.row_number().over(rank) <= F.col("rest")).cast("int"))
-    return rest.unionByName(edge).withColumn("taken", F.col("size") * (F.col("whole") + F.col("__one")))
+    return choose(sized, solved, seed, scratch).select(*keep, "size", "source_size", "target", "taken")
+
+
+def choose(sized: DataFrame, solved: DataFrame, seed: int, scratch: Scratch) -> DataFrame:
+    """Marks the ``extra`` documents of each (source, size) that come first in the seeded order.
+
+    Every (source, size) is dealt over hash ranges of doc_id and text before it is joined, so that one that very many documents
+    share is spread over many tasks. A range is taken whole or not at all but for the one in which the limit falls.
+    """
+    docs = sized.withColumn(HASH, seeded(F.col("doc_id"), F.col(TEXT), seed=seed)).withColumn(RANGE, F.pmod(F.col(HASH), F.lit(RANGES)).cast("int"))
+    group = [SOURCE, SIZE]
+    ranges = docs.groupBy(*group, RANGE).agg(F.count("*").alias("m"))
+    before = Window.partitionBy(*group).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("ahead", F.coalesce(F.sum("m").over(before), F.lit(0)))  # at most RANGES rows a window
+    named = solved.select(F.col("source").alias("s"), F.col("size").alias("z"), "source_size", "target", "whole", "extra")
+    limits = ranges.join(named, F.col(SOURCE).eqNullSafe(F.col("s")) & (F.col(SIZE) == F.col("z"))).drop("s", "z")
+    limits = limits.withColumn("rest", F.least(F.greatest(F.col("extra") - F.col("ahead"), F.lit(0)), F.col("m")))
+    limits = scratch.save(limits.select(F.col(SOURCE).alias(P + "s"), F.col(SIZE).alias(P + "z"), F.col(RANGE).alias(P + "r"), *[F.col(c).alias(P + c) for c in ("source_size", "target", "whole", "rest", "m")]), "limits")
+    same = docs[SOURCE].eqNullSafe(limits[P + "s"]) & (docs[SIZE] == limits[P + "z"]) & (docs[RANGE] == limits[P + "r"])
+    met = docs.join(limits, same)
+    inside = F.col(P + "rest").between(1, F.col(P + "m") - 1)
+    rank = Window.partitionBy(*group, RANGE).orderBy(HASH, "doc_id", TEXT)
+    rest = met.where(~inside).withColumn(P + "one", (F.col(P + "rest") > 0).cast("int"))
+    edge = met.where(inside).withColumn(P + "one", (F.row_number().over(rank) <= F.col(P + "rest")).cast("int"))
+    both = rest.unionByName(edge)
+    return both.withColumns({"size": F.col(SIZE), "source_size": F.col(P + "source_size"), "target": F.col(P + "target"), "taken": F.col(SIZE) * (F.col(P + "whole") + F.col(P + "one"))})
 
 
 def mixed(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it; rows with equal doc_id are taken alike."""
-    taken = mix(docs.select("doc_id", "source", "text"), **settings)
+    """The rows of docs, each as often as the mix takes it; rows equal in doc_id, source and text are taken alike, in all as often."""
+    given = docs.select(F.col("doc_id"), "source", "text", F.xxhash64("text").alias(P + "t"))
+    taken = mix(given, **settings)
     often = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0)
-    times = taken.select(F.col("doc_id").alias("__doc"), often.alias("__times")).groupBy("__doc").agg(F.max("__times").alias("__times")).where("__times > 0")
-    rows = docs.join(times, docs["doc_id"].eqNullSafe(times["__doc"]))
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__copy")).drop("__copy")
+    group = taken.groupBy(F.col("doc_id").alias(P + "d"), F.col("source").alias(P + "s"), F.col(P + "t").alias(P + "h")).agg(F.sum(often).alias(P + "times"), F.count("*").alias(P + "rows")).where(F.col(P + "times") > 0)
+    marked = docs.withColumn(P + "t", F.xxhash64("text"))
+    rows = marked.join(group, marked["doc_id"].eqNullSafe(group[P + "d"]) & marked["source"].eqNullSafe(group[P + "s"]) & (marked[P + "t"] == group[P + "h"]))
+    # Equal rows share their copies: each takes the quotient, and as many of them as the rest says one more.
+    nth = F.when(F.col(P + "rows") == 1, F.lit(1)).otherwise(F.row_number().over(Window.partitionBy(P + "d", P + "s", P + "h").orderBy(P + "t")))
+    single = rows.where(F.col(P + "rows") == 1).withColumn(P + "mine", F.col(P + "times"))
+    several = rows.where(F.col(P + "rows") > 1).withColumn(P + "mine", F.floor(F.col(P + "times") / F.col(P + "rows")) + (nth <= F.col(P + "times") % F.col(P + "rows")).cast("int"))
+    rows = single.unionByName(several).where(F.col(P + "mine") > 0)
+    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(P + "mine").cast("int"))).alias(P + "copy")).drop(P + "copy")
