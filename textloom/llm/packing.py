@@ -28,7 +28,7 @@ from .tokens import ENCODE_BYTES, crc32, encoder
 from .vectext import text_slices
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
-MAX_SEGMENTS = 4_000_000
+SENT_SEGMENTS = 1_000_000  # of the plan, sent to the executors at once (40 bytes each)
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -149,24 +149,35 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
     counts = scratch.save(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
     segments, _ = plan(histogram, capacity, max_docs or capacity, max_cost or capacity * capacity, weights, rule)
-    if len(segments) > MAX_SEGMENTS:
-        raise ValueError(f"the plan has {len(segments)} segments; {MAX_SEGMENTS} may be sent to the executors")
     segments = segments[np.lexsort((segments[:, 1], segments[:, 0]))]
-    sent = spark.sparkContext.broadcast(segments)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
     ranked = pieces.join(offsets, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("ahead") + F.col("nth")).alias("rank"), *["ids"] * with_ids)
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = sent.value
-        key = s[:, 0] << 44 | s[:, 1]
-        for batch in batches:
-            length, rank = np.asarray(batch.column(3)), np.asarray(batch.column(5))
-            g = np.searchsorted(key, length << 44 | rank, side="right") - 1
-            cols = [*batch.columns[:5], pa.array(s[g, 3] + rank - s[g, 1]), pa.array(s[g, 4]), *batch.columns[6:]]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * with_ids])
-
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids array<int>" * with_ids)
+    def placed(rows: DataFrame, some: np.ndarray) -> DataFrame:
+        sent = spark.sparkContext.broadcast(some)
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            s = sent.value
+            key = s[:, 0] << 44 | s[:, 1]
+            for batch in batches:
+                length, rank = np.asarray(batch.column(3)), np.asarray(batch.column(5))
+                g = np.searchsorted(key, length << 44 | rank, side="right") - 1
+                cols = [*batch.columns[:5], pa.array(s[g, 3] + rank - s[g, 1]), pa.array(s[g, 4]), *batch.columns[6:]]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * with_ids])
+
+        return rows.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids array<int>" * with_ids)
+
+    out, at = None, 0
+    while out is None or at < len(segments):  # mostly once; a longer plan is applied a range of lengths and ranks at a time
+        end = min(len(segments), at + SENT_SEGMENTS)
+        here = ranked
+        if end - at < len(segments):
+            low, high = (f"(length > {n} or length = {n} and rank >= {r})" for n, r in (segments[at, :2], segments[end, :2] if end < len(segments) else (capacity + 1, 0)))
+            here = ranked.where(f"{low} and not {high}")
+        part = placed(here, segments[at:end])
+        out, at = part if out is None else out.unionByName(part), end
+    return out
 
 
 def sequences(packed: DataFrame) -> DataFrame:
