@@ -105,6 +105,12 @@ def test_plan_holds_every_constraint(histogram, rule, max_docs):
         assert at <= 64 and len(pieces) <= max_docs and sum(n * n for _, n in pieces) <= 64 * 64
 
 
+def test_long_plan_is_applied_in_parts(docs, monkeypatch):
+    whole = sorted(packing.pack(docs, tokens.default_tokenizer()).collect())
+    monkeypatch.setattr(packing, "SENT_SEGMENTS", 40)
+    assert sorted(packing.pack(docs, tokens.default_tokenizer()).collect()) == whole
+
+
 def test_tokens_equal_library(tokenizer):
     texts = ["a' b's. don't,it’s   x  y  z\n\n q <|endoftext|> z.<|endoftext|>.a", "é é  é à.b 中文 字 1.5 a1.b x\x1c y \x1cz", "", " a  b. c", "I'll. we'd, 's.x"]
     for _, _, text in text_slices(pa.array(texts)):
@@ -480,6 +486,16 @@ def test_language_model_uses_every_retained_state(docs):
         assert out.keys() == whole.keys() and all(abs(out[i] - whole[i]) < 1e-9 * abs(whole[i]) for i in whole)
 
 
+def test_counts_to_send_stay_within_the_room(spark):
+    rng = np.random.default_rng(5)
+    n = np.exp(rng.uniform(0, 20, 3000)).astype(int) + 1
+    df = spark.createDataFrame([(int(x),) for x in n], "n long")
+    for room in (0, 10, 1000, 2999, 3000):
+        least, whole = suffixtree.least_to_send(df, F.col("n"), F.count("*"), room)
+        held = int((n >= least).sum())
+        assert held <= room and whole == (room >= 3000) and (whole or held >= 0.9 * room - 40)
+
+
 def test_symbols_follow_the_words():
     for _, _, text in text_slices(pa.array(["Ab  c\n", "", " d"])):
         w, d = suffixtree.symbols(text, 2)
@@ -503,12 +519,26 @@ def test_toxicity(spark):
 def test_factorization_learns_a_pair():
     # Each term alone says little; both together are toxic.
     sets = [np.array(x, np.int64) for x in ([1], [2], [1, 2], [3])] * 100
-    m = toxicity.FactorizationMachine.train(np.array([0, 0, 1, 0] * 100), sets, 64, steps=600)
+    m = toxicity.FactorizationMachine.train(np.array([0, 0, 1, 0] * 100), sets, np.array([1, 2, 3]), 64, steps=600)
     scores = m.scores(4, np.array([0, 1, 2, 2, 3]), np.array([1, 2, 1, 2, 3]))
     assert scores[2] > 0.8 and scores[[0, 1, 3]].max() < 0.3
     assert (m.factors[m.index[1]] * m.factors[m.index[2]]).sum() > 0.5
 
 
+def test_toxicity_finds_terms_that_weigh_beside_others_only(spark):
+    """"ggg" is as common in both classes, but it decides what "aaa" and "bbb" mean."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(1200):
+        insult, group = ("aaa", "bbb", "ccc", "ddd")[rng.integers(4)], rng.random() < 0.5
+        toxic = insult == "aaa" and group or insult == "bbb" and not group
+        rows.append((i, " ".join([insult, *["ggg"] * group, *(f"w{rng.integers(40)}" for _ in range(8))]), int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    machine = toxicity.fit(df.select("doc_id", "text"), df.where("doc_id < 800").select("doc_id", "toxic"))
+    got = toxicity.score(df, machine, 0.5).join(df, "doc_id").where("doc_id >= 800").collect()
+    assert sum(r["predicted"] == r["toxic"] for r in got) >= 0.95 * len(got)
+
+
 def test_toxicity_awkward(spark, awkward, nothing):
     labels = spark.createDataFrame([(3, 1), (4, 0), (4, None), (None, 1)], "doc_id long, toxic int")
     out = toxicity.score(awkward, toxicity.fit(awkward, labels)).collect()
