@@ -137,7 +137,7 @@ def plan(histogram: dict[int, int], capacity: int, max_docs: int, max_cost: int,
     return np.array(segments, np.int64).reshape(-1, 5), bins
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, max_docs: int | None = None, max_cost: int | None = None, weights: tuple[float, float, float] = (1.0, 0.001, 0.001), rule: str = "norm", with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, max_docs: int | None = None, max_cost: int | None = None, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), rule: str = "norm", with_ids: bool = False) -> DataFrame:
     """Pieces with sequence_id and offset: doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids].
 
     ``max_docs`` and ``max_cost`` limit the pieces and the summed squared lengths of a sequence; by default neither
