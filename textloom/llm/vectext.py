@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 18
 _U = np.uint64
 _RNG = np.random.default_rng(20240607)
 _BASE = int(_RNG.integers(1 << 62, 1 << 63)) * 2 + 1 & ((1 << 64) - 1)
