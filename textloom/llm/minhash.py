@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, chosen
-from .vectext import _STEP, list_array, mix, shingle_sets, signed, text_slices
+from .vectext import _STEP, list_array, mix, release, shingle_sets, signed, text_slices
 
 _U = np.uint64
 SET_VALUES = 1 << 19  # shingles taken apart at once
@@ -152,6 +152,7 @@ def runs_of_one_head(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, l
                     yield held[0], heads, [ids[x] for x in own], [v[x] for x in own], [np.frombuffer(sets[x], _U) for x in own]
             if new:
                 held, heads, start = (a[k], block[k]), [], k
+        release(batch.nbytes)
 
 
 def places(head: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -17,8 +17,8 @@ import numpy as np
 
 from .vectext import Text
 
-CACHE_CHUNKS = 600_000
-CACHE_IDS = 6_000_000
+CACHE_CHUNKS = 400_000
+CACHE_IDS = 4_000_000
 JOINED = 512
 ENCODE_BYTES = 1 << 20  # text encoded at once: more of it repeats than in a smaller slice
 _SIMPLE = re.compile(rb" (?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch

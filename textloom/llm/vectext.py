@@ -12,6 +12,7 @@ finished with a full-avalanche mixer. Where 64 bits are too few, the second lane
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,6 +79,22 @@ def _prime_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _prime_powers
 
 
+RELEASE_BYTES = 16 << 20
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library, where it has one
+_handled = 0
+
+
+def release(n: int) -> None:
+    """Counts n handled bytes; now and then gives memory that freed arrays leave behind back to the system, as workers live on."""
+    global _handled
+    _handled += n
+    if _handled > RELEASE_BYTES:
+        _handled = 0
+        pa.default_memory_pool().release_unused()
+        if _trim is not None:
+            _trim(0)
+
+
 class Text:
     """The bytes of consecutive documents, with the byte range of each."""
 
@@ -185,6 +202,7 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, side="right")) - 1)
         yield i, j, Text(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        release(int(offsets[j] - offsets[i]))
         i = j
 
 
