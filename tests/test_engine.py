@@ -1,6 +1,7 @@
 """Behaviour of text functions, chunks, fusion, code symbols and the index on small inputs."""
 
 import os
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from textloom.functions import router
 from textloom.functions import text as T
 from textloom.operators import chunk, code, fuse, lexical, scan, vector
 from textloom.plans import render
-from textloom.plans.engine import Engine, Index, Query, chunks_of
+from textloom.plans.engine import Engine, Index, Query, chunks_of, reconcile_covering
 from textloom.sources import corpus
 from textloom.sources.store import Store, retry_delay_ms
 from textloom.streaming.refresh import stream_chunks
@@ -199,3 +200,138 @@ def test_streamed_chunks(spark, small, tmp_path):
     q.awaitTermination(60)
     want = chunks_of(corpus.from_documents(spark.read.parquet(str(source)))).count()
     assert spark.read.parquet(str(tmp_path / "out")).count() == want
+
+
+def test_paths_are_taken_literally(spark, tmp_path):
+    root = tmp_path / "tr+ee [x]"
+    root.mkdir()
+    names = ["a+b.md", "100%25.md", "sp ace.md", "q[1].md", "c{d}.md", "star*.md"]
+    for n in names:
+        (root / n).write_text("x")
+    assert sorted(r["rel_path"] for r in corpus.read_tree(spark, str(root)).collect()) == sorted(names)
+
+
+@pytest.mark.parametrize(
+    "rules,hidden",
+    [
+        ("/build", {"build/a.md"}),
+        ("build", {"build/a.md", "sub/build/b.md"}),
+        ("sub/*.md", {"sub/c.md"}),
+        ("**/build", {"build/a.md", "sub/build/b.md"}),
+        ("sub/**", {"sub/c.md", "sub/build/b.md", "sub/deep/d/e.md"}),
+        ("sub/**/e.md", {"sub/deep/d/e.md"}),
+        ("*.md\n!c.md", {"build/a.md", "sub/build/b.md", "sub/deep/d/e.md", "top.md"}),
+        ("[bt]*.md", {"sub/build/b.md", "top.md"}),
+        ("top.md/", set()),
+        ("# top.md\n\n", set()),
+    ],
+)
+def test_ignore_patterns(tmp_path, rules, hidden):
+    every = {"build/a.md", "sub/build/b.md", "sub/c.md", "sub/deep/d/e.md", "top.md"}
+    for p in every:
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text("x")
+    (tmp_path / ".gitignore").write_text(rules)
+    assert set(corpus.walk(str(tmp_path))) == every - hidden
+
+
+def test_ignore_files_of_the_repository_above(tmp_path):
+    (tmp_path / ".git" / "info").mkdir(parents=True)
+    (tmp_path / ".git" / "info" / "exclude").write_text("private.md")
+    (tmp_path / ".gitignore").write_text("/docs/old")
+    for p in ("docs/old/a.md", "docs/new/b.md", "docs/private.md"):
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text("x")
+    assert corpus.walk(str(tmp_path / "docs")) == ["new/b.md"]
+    assert corpus.walk(str(tmp_path / "docs"), "old") == []
+
+
+def test_reconcile_equals_rebuild(spark, tmp_path):
+    root = tmp_path / "vault"
+    root.mkdir()
+    for i in range(6):
+        (root / f"f{i}.md").write_text(f"shared note for all\nown {LONG} {i}\n")
+    engine = Engine(spark, str(root), f"file://{tmp_path}/index")
+    engine.rebuild("fts+vector")
+    (root / "f0.md").unlink()
+    (root / "f1.md").write_text("quite new words of the file")
+    (root / "f9.md").write_text("shared note for all")
+    assert engine.reconcile() == {"deleted": 1, "changed": 1, "new": 1, "unchanged": 4}
+    keys = {"files": ["rel_path", "content_hash"], "chunks": ["rel_path", "chunk_index", "normalized_text"], "shared": ["shared_normalized_text", "ref_count"], "postings": ["token", "rel_path", "chunk_index", "dl", "tf"], "stats": ["n_chunks", "total_tokens"], "vectors": ["shared_normalized_text_hash"]}
+    held = lambda: {t: sorted(map(tuple, engine.store.read(t).select(*c).collect())) for t, c in keys.items()}
+    updated = held()
+    run = engine.status()["latest_run"]
+    assert (run["mode"], run["indexed_files"], run["chunks_indexed"]) == ("reconcile", 2, 2) and run["finished_unix_ms"] >= run["started_unix_ms"]
+    engine.rebuild()
+    assert held() == updated
+    assert len([p for p in (tmp_path / "index").iterdir() if p.name.startswith("snapshot=")]) == 2
+    assert engine.file_counts("f9.md") == {"chunks": 1, "shared": 1}
+
+
+def test_stored_postings_answer_as_the_scan_does(spark, small):
+    c = chunks_of(corpus.from_documents(spark.read.parquet(f"{small}/documents.parquet")))
+    for query, scope in (("licensed under the", None), ("Licensed", "src1"), ("the the zzz", None), ("two-part words", None), ("!!", None)):
+        found = [lexical.candidates(c, query, scope), lexical.stored_candidates(lexical.by_token(lexical.postings(c)), lexical.corpus_stats(c), c, query, scope)]
+        a, b = ({(r["rel_path"], r["chunk_index"]): (round(r["bm25"], 6), round(r["lexical_score"], 6)) for r in x.collect()} for x in found)
+        assert a == b
+
+
+def test_state_and_lost_tables(spark, tmp_path):
+    root = tmp_path / "v"
+    root.mkdir()
+    (root / "a.md").write_text("some words")
+    engine = Engine(spark, str(root), f"file://{tmp_path}/index")
+    engine.rebuild()
+    assert engine.status()["dirty"] is False
+    synced = engine.status()["last_sync_unix_ms"]
+    engine.mark_dirty("files changed")
+    assert engine.status()["dirty_reason"] == "files changed" and engine.status()["last_sync_unix_ms"] == synced
+    engine.reconcile()
+    assert engine.status()["dirty"] is False
+    shutil.rmtree(tmp_path / "index" / engine.store.pointer()["snapshot"] / "postings")
+    with pytest.raises(ValueError):
+        engine.index()
+    assert engine.status()["dirty"] and "postings" in engine.status()["dirty_reason"]
+
+
+def test_lock_of_a_dead_writer_is_taken_over(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "LOCK").write_text("")
+    os.utime(tmp_path / "s" / "LOCK", (1, 1))
+    with store.locked():
+        assert (tmp_path / "s" / "LOCK").exists()
+    assert not (tmp_path / "s" / "LOCK").exists()
+
+
+def test_covering_roots(spark, tmp_path):
+    for p in ("a/.textloom", "a/b/c/.textloom", "a/b/x"):
+        (tmp_path / p).mkdir(parents=True)
+    at = str(tmp_path)
+    assert corpus.covering_roots(f"{at}/a/b") == {"ancestors": [f"{at}/a"], "descendants": [f"{at}/a/b/c"]}
+    (tmp_path / "a" / "n.md").write_text("words in a")
+    (tmp_path / "a" / "b" / "c" / "m.md").write_text("words in c")
+    for p in ("a", "a/b/c"):
+        Engine(spark, f"{at}/{p}").rebuild()
+    (tmp_path / "a" / "b" / "x" / "new.md").write_text("fresh")
+    assert reconcile_covering(spark, f"{at}/a/b") == {f"{at}/a": {"new": 1, "unchanged": 1}, f"{at}/a/b/c": {"unchanged": 1}}
+
+
+def test_vector_bytes(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.5])], "k int, v array<float>").withColumn("b", vector.to_bytes(F.col("v")))
+    assert bytes(df.first()["b"]) == b"\x00\x00\x80?\x00\x00 @"
+    assert df.select(vector.from_bytes(F.col("b"), 2).alias("v")).first()["v"] == [1.0, 2.5]
+    with pytest.raises(Exception, match="8 bytes, 12 are expected"):
+        df.select(vector.from_bytes(F.col("b"), 3)).collect()
+
+
+def test_semantic_cap_of_many_queries(spark):
+    rows = [(q, f"{i:03}", 0, 0.1, float(q == 0 and i == 3), 0.5, q == 0 and i == 3, False) for q in (0, 1) for i in range(9)]
+    df = spark.createDataFrame(rows, "q int, rel_path string, chunk_index int, score double, lexical_score double, vector_score double, indexed_text_match boolean, partial_text_match boolean")
+    out = fuse.cap_semantic(df, by=("q",)).groupBy("q").count().collect()
+    assert {r["q"]: r["count"] for r in out} == {0: 6, 1: 9}
+
+
+@pytest.mark.parametrize("query,want", [("a]b}", False), ("a.b", False), ("(ab", True), ("x{2}", True), ("x{a}", True), ("^ab", True), ("plain words", False)])
+def test_router_decisions(query, want):
+    assert router.is_regex(query) == want

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import re._parser as _parser
 
 STRUCTURAL = set("[](){}|^$\\")
 
@@ -22,10 +21,10 @@ def is_regex(query: str) -> bool:
     if _translated(query) is None:
         return signal
     try:
-        tree = _parser.parse(query)
+        re.compile(query)
     except (re.error, OverflowError, RecursionError):
         return signal
-    return any(op is not _parser.LITERAL for op, _ in tree)
+    return any(c in ".^$*+?()[|{" for c in query)  # it compiles and holds no escape, so any of these is an operator
 
 
 def java_pattern(pattern: str) -> str:

@@ -31,9 +31,9 @@ def fuse(channels: DataFrame) -> DataFrame:
         F.max(F.when(of("vector"), F.col("vector_score")).otherwise(0.0)).alias("vector_score"),
         F.bool_or(of("lexical")).alias("indexed_text_match"),
         F.bool_or(of("literal")).alias("partial_text_match"),
-        F.first("literal_line_number", ignorenulls=True).alias("literal_line_number"),
-        F.first("literal_preview", ignorenulls=True).alias("literal_preview"),
+        F.min(F.when(of("literal"), F.struct("literal_line_number", "literal_preview"))).alias("first"),
     )
+    out = out.select("*", "first.*").drop("first")
     return out.where("lexical_score > 0 or vector_score > 0")
 
 
@@ -44,10 +44,10 @@ def priority() -> list:
     return [literal.desc(), (semantic + lexical + literal).desc(), lexical.desc(), semantic.desc(), F.round("score", 9).desc(), F.round("lexical_score", 6).desc(), F.col("rel_path"), F.col("chunk_index")]
 
 
-def cap_semantic(hits: DataFrame, limit: int = SEMANTIC_ONLY_LIMIT) -> DataFrame:
-    """At most ``limit`` purely semantic hits in rank order, if any hit is lexical; hits of one query only."""
-    w = Window.orderBy(*priority()).rowsBetween(Window.unboundedPreceding, 0)
-    everywhere = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+def cap_semantic(hits: DataFrame, limit: int = SEMANTIC_ONLY_LIMIT, by: tuple[str, ...] = ()) -> DataFrame:
+    """At most ``limit`` purely semantic hits in rank order, if any hit is lexical; of each query, where ``by`` names its columns."""
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    w = group.orderBy(*priority()).rowsBetween(Window.unboundedPreceding, 0)
     semantic = F.col("lexical_score") <= 0
-    marked = hits.withColumn("__n", F.sum(semantic.cast("int")).over(w)).withColumn("__any", F.max(~semantic).over(everywhere))
+    marked = hits.withColumn("__n", F.sum(semantic.cast("int")).over(w)).withColumn("__any", F.max(~semantic).over(group))
     return marked.where(~F.col("__any") | ~semantic | (F.col("__n") <= limit)).drop("__n", "__any")

@@ -27,34 +27,68 @@ def query_phrases(spark: SparkSession, query: str) -> tuple[list[str], list[list
     return row["t"], [p for p in row["p"] if p]
 
 
+def bm25_parts(n_phrases: int, docs: str = "docs", total: str = "total") -> tuple[Column, Column]:
+    """Score and hit flag of rows with frequencies f0.., document frequencies n0.., length dl and the corpus totals."""
+    hit, score = F.lit(False), F.lit(0.0)
+    for i in range(n_phrases):
+        f, n = F.col(f"f{i}"), F.col(f"n{i}")
+        idf = F.log((F.col(docs) - n + 0.5) / (n + 0.5))
+        idf = F.when(idf > 0, idf).otherwise(MIN_IDF)
+        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") * F.col(docs) / F.col(total)))
+        hit = hit | (f > 0)
+    return score, hit
+
+
+def best_of(scored: DataFrame, limit: int) -> DataFrame:
+    return scored.withColumn("order", F.round("bm25", 6)).orderBy(F.desc("order"), "rel_path", "chunk_index").limit(limit)
+
+
+def covered(best: DataFrame, terms: list[str], columns: list[str]) -> DataFrame:
+    cover = T.coverage(F.col("normalized_text"), F.array(*[F.lit(t) for t in terms]))
+    return best.withColumn("lexical_score", cover + F.greatest("bm25", F.lit(0.0))).select(*columns, "bm25", "lexical_score")
+
+
+def nothing(chunks: DataFrame) -> DataFrame:
+    return chunks.where(F.lit(False)).select("*", F.lit(0.0).alias("bm25"), F.lit(0.0).alias("lexical_score"))
+
+
 def candidates(chunks: DataFrame, query: str, scope: str | None = None, kind: str = "dir", limit: int = LEXICAL_LIMIT) -> DataFrame:
     """The best chunks by BM25, statistics over all chunks, scope applied before the limit.
 
     Statistics are one row, so joining them is no shuffle; the frequencies are found in the scan.
     """
     terms, phrases = query_phrases(chunks.sparkSession, query)
-    tokens = T.tokens(F.col("normalized_text"))
-    counted = chunks.withColumn("tokens", tokens).withColumn("dl", F.size("tokens"))
+    if not phrases:
+        return nothing(chunks)
+    counted = chunks.withColumn("tokens", T.tokens(F.col("normalized_text"))).withColumn("dl", F.size("tokens"))
     for i, p in enumerate(phrases):
         counted = counted.withColumn(f"f{i}", phrase_frequency(F.col("tokens"), p))
     counted = counted.drop("tokens")
     stats = counted.agg(F.count("*").alias("docs"), F.sum("dl").alias("total"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(phrases))])
-    rows = counted.where(T.in_scope(F.col("rel_path"), scope, kind))
+    score, hit = bm25_parts(len(phrases))
+    rows = counted.where(T.in_scope(F.col("rel_path"), scope, kind)).where(hit)
+    return covered(best_of(rows.join(F.broadcast(stats)).withColumn("bm25", score), limit), terms, chunks.columns)  # stats: one row
+
+
+def stored_candidates(index: DataFrame, stats: DataFrame, chunks: DataFrame, query: str, scope: str | None = None, kind: str = "dir", limit: int = LEXICAL_LIMIT) -> DataFrame:
+    """The same from stored ``postings`` and ``stats``: only the postings of the query's tokens are read, and chunks of the best rows.
+
+    A phrase of several tokens needs their order, which postings don't hold; such a query is answered by ``candidates``.
+    """
+    terms, phrases = query_phrases(chunks.sparkSession, query)
     if not phrases:
-        return rows.where(F.lit(False)).withColumn("bm25", F.lit(0.0)).withColumn("lexical_score", F.lit(0.0)).withColumn("rank", F.lit(0).cast("long"))
-    hit = F.lit(False)
-    score = F.lit(0.0)
-    for i in range(len(phrases)):
-        f, n = F.col(f"f{i}"), F.col(f"n{i}")
-        idf = F.log((F.col("docs") - n + 0.5) / (n + 0.5))
-        idf = F.when(idf > 0, idf).otherwise(MIN_IDF)
-        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") * F.col("docs") / F.col("total")))
-        hit = hit | (f > 0)
-    scored = rows.where(hit).join(F.broadcast(stats)).withColumn("bm25", score)  # stats: one row
-    cover = T.coverage(F.col("normalized_text"), F.array(*[F.lit(t) for t in terms]))
-    best = scored.withColumn("order", F.round("bm25", 6)).orderBy(F.desc("order"), "rel_path", "chunk_index").limit(limit)
-    best = best.withColumn("lexical_score", cover + F.greatest("bm25", F.lit(0.0)))
-    return best.select(*chunks.columns, "bm25", "lexical_score")
+        return nothing(chunks)
+    if any(len(p) > 1 for p in phrases):
+        return candidates(chunks, query, scope, kind, limit)
+    tokens = [p[0] for p in phrases]
+    held = index.where(F.col("token").isin(*tokens))
+    count = lambda t: F.count_if(F.col("token") == t)
+    known = held.agg(*[count(t).alias(f"n{i}") for i, t in enumerate(tokens)]).join(stats.select(F.col("n_chunks").alias("docs"), F.col("total_tokens").alias("total")))
+    tf = lambda t: F.coalesce(F.max(F.when(F.col("token") == t, F.col("tf"))), F.lit(0))
+    rows = held.where(T.in_scope(F.col("rel_path"), scope, kind)).groupBy("rel_path", "chunk_index", "dl").agg(*[tf(t).alias(f"f{i}") for i, t in enumerate(tokens)])
+    score, _ = bm25_parts(len(tokens))
+    best = best_of(rows.join(F.broadcast(known)).withColumn("bm25", score), limit).select("rel_path", "chunk_index", "bm25")  # known: one row
+    return covered(chunks.join(F.broadcast(best), ["rel_path", "chunk_index"]), terms, chunks.columns)  # best: at most ``limit`` rows
 
 
 def document_frequencies(chunks: DataFrame) -> DataFrame:
@@ -65,9 +99,15 @@ def document_frequencies(chunks: DataFrame) -> DataFrame:
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """token, rel_path, chunk_index, tf; written by token so that a query reads few partitions."""
-    rows = chunks.select(F.explode(T.tokens(F.col("normalized_text"))).alias("token"), "rel_path", "chunk_index")
-    return rows.groupBy("token", "rel_path", "chunk_index").agg(F.count("*").alias("tf"))
+    """token, rel_path, chunk_index, dl (tokens of the chunk), tf."""
+    tokens = chunks.select("rel_path", "chunk_index", T.tokens(F.col("normalized_text")).alias("tokens"))
+    rows = tokens.select("rel_path", "chunk_index", F.size("tokens").alias("dl"), F.explode("tokens").alias("token"))
+    return rows.groupBy("token", "rel_path", "chunk_index", "dl").agg(F.count("*").alias("tf"))
+
+
+def by_token(index: DataFrame) -> DataFrame:
+    """Postings in the order in which they are stored: a filter on tokens skips files and row groups by their bounds."""
+    return index.repartitionByRange("token", "rel_path").sortWithinPartitions("token", "rel_path")
 
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:
@@ -81,10 +121,9 @@ def batch_candidates(chunks: DataFrame, queries: DataFrame, limit: int = LEXICAL
     Tokens of a query count as often as it names them. The top rows of each query are found by partial ranking.
     """
     wanted = queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    index = postings(chunks)
+    index = postings(chunks).join(wanted.select("token").distinct(), "token", "left_semi")
     df = index.groupBy("token").agg(F.count("*").alias("n"))
-    sizes = chunks.select("rel_path", "chunk_index", F.size(T.tokens(F.col("normalized_text"))).alias("dl"))
-    matched = index.join(wanted, "token").join(df, "token").join(sizes, ["rel_path", "chunk_index"]).join(F.broadcast(corpus_stats(chunks)))
+    matched = index.join(wanted.join(df, "token"), "token").join(F.broadcast(corpus_stats(chunks)))
     idf = F.log((F.col("n_chunks") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     part = F.when(idf > 0, idf).otherwise(MIN_IDF) * F.col("times") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") * F.col("n_chunks") / F.col("total_tokens")))
     scored = matched.groupBy("query_id", "rel_path", "chunk_index").agg(F.sum(part).alias("bm25"))

@@ -31,6 +31,13 @@ def count_deltas(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "full_outer").select(key, delta.alias("delta"), (delta > 0).alias("touched")).where("delta <> 0")
 
 
+def counted(shared: DataFrame, deltas: DataFrame, texts: DataFrame, key: str, text: str) -> DataFrame:
+    """Shared rows (key, text, ref_count) after the deltas: counts move, new keys come with their text, keys without a reference go."""
+    both = shared.join(deltas.select(key, "delta"), key, "full_outer").join(texts.select(key, F.col(text).alias("__new")).distinct(), key, "left")
+    now = F.coalesce("ref_count", F.lit(0)) + F.coalesce("delta", F.lit(0))
+    return both.select(key, F.coalesce(text, "__new").alias(text), now.alias("ref_count")).where("ref_count > 0")
+
+
 def collected(shared: DataFrame, refs: DataFrame, key: str) -> DataFrame:
     """Shared rows that some reference still uses."""
     return shared.join(refs.select(key), key, "left_semi")

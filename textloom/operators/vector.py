@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,28 @@ def embed_text(text: str, prefix: str, dims: int = VECTOR_DIMS) -> list[float]:
     return np.bincount(np.arange(len(raw)) % dims, weights=raw % 31 + 1.0, minlength=dims).tolist()
 
 
+def to_bytes(vector: Column) -> Column:
+    """A vector as little-endian 32-bit floats."""
+
+    @F.pandas_udf("binary")
+    def pack(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())
+
+    return pack(vector)
+
+
+def from_bytes(raw: Column, dims: int = VECTOR_DIMS) -> Column:
+    """The vector of such bytes; another length than ``dims`` floats is an error."""
+
+    @F.pandas_udf("array<float>")
+    def unpack(b: pd.Series) -> pd.Series:
+        if (wrong := b.dropna().map(len).loc[lambda n: n != 4 * dims]).size:
+            raise ValueError(f"a vector of {wrong.iloc[0]} bytes, {4 * dims} are expected")
+        return b.map(lambda x: None if x is None else np.frombuffer(x, "<f4").tolist())
+
+    return unpack(raw)
+
+
 def embed(rows: DataFrame, column: str, prefix: str = "passage", dims: int = VECTOR_DIMS, embedder=embed_text) -> DataFrame:
     """rows with a ``vector`` column. ``embedder(text, prefix, dims)`` runs in Arrow batches; a model plugs in here."""
     names = rows.columns

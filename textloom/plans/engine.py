@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import time
 from dataclasses import dataclass
 
@@ -47,9 +48,22 @@ def chunks_of(files: DataFrame) -> DataFrame:
 class Index:
     """Searches over files and chunks; ``vectors`` (hash, vector) only at level fts+vector."""
 
-    def __init__(self, files: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, dims: int = S.VECTOR_DIMS, embedder=vector.embed_text):
+    def __init__(self, files: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, dims: int = S.VECTOR_DIMS, embedder=vector.embed_text, postings: DataFrame | None = None, stats: DataFrame | None = None):
+        self.postings, self.stats = postings, stats  # stored ones, if there are any
         self.files, self.chunks, self.vectors, self.dims, self.embedder = files, chunks, vectors, dims, embedder
 
+    def kept(self) -> Index:
+        """The index with its chunks (and vectors) held by the executors, in memory or on their disks, so that the branches of a search don't
+        make them anew; lost ones are computed again. ``close`` lets them go."""
+        self.chunks = self.chunks.persist()
+        self.vectors = self.vectors.persist() if self.vectors is not None else None
+        return self
+
+    def close(self) -> None:
+        for held in (self.chunks, self.vectors):
+            if held is not None:
+                held.unpersist()
+
     @classmethod
     def build(cls, files: DataFrame, level: str = "fts", dims: int = S.VECTOR_DIMS, embedder=vector.embed_text) -> Index:
         chunks = chunks_of(files)
@@ -64,7 +78,9 @@ class Index:
 
         if Query(query).is_empty:
             raise ValueError("the query is empty")
-        lex = lexical.candidates(self.chunks, query, scope, kind)  # at most 96 rows; ranked after the limit
+        stored = self.postings is not None and self.stats is not None
+        lex = lexical.stored_candidates(self.postings, self.stats, self.chunks, query, scope, kind) if stored else lexical.candidates(self.chunks, query, scope, kind)
+        # at most 96 rows; ranked after the limit
         w = Window.orderBy(F.round("bm25", 6).desc(), "rel_path", "chunk_index")
         out = fuse.channel(lex.withColumn("rank", F.row_number().over(w) - 1), "lexical")
         out = out.unionByName(fuse.channel(literal.ranked(literal.candidates(self.files, self.chunks, query, scope, kind)), "literal"))
@@ -91,6 +107,18 @@ class Index:
         return scan.ordered(hits)
 
 
+SHARED = ("shared_normalized_text_hash", "shared_normalized_text")
+
+
+def reconcile_covering(spark: SparkSession, path: str) -> dict[str, dict[str, int]]:
+    """Reconciles every index around the path: those of folders above within the path, those below as a whole."""
+    at, out = os.path.abspath(path), {}
+    around = corpus.covering_roots(at)
+    for root in around["ancestors"] + around["descendants"]:
+        out[root] = Engine(spark, root).reconcile("" if root.startswith(at) else os.path.relpath(at, root))
+    return out
+
+
 class Engine:
     """An index of a directory tree, stored at ``store_root`` and refreshed by comparison with the tree."""
 
@@ -113,56 +141,106 @@ class Engine:
             files = corpus.load(tree)
             return self._write(files, level, mode, began, tree.count())
 
-    def _write(self, files: DataFrame, level: str, mode: str, began: int, scanned: int, known: DataFrame | None = None) -> dict:
-        index = Index.build(files.select("rel_path", "body"), "fts")
-        chunks = index.chunks
-        has = chunks.select("rel_path").distinct()
-        kept = files.join(has, "rel_path", "left_semi")
-        shared = chunks.groupBy("shared_normalized_text_hash", "shared_normalized_text").agg(F.count("*").alias("ref_count"))
-        tables = {"files": kept.withColumn("indexed_at_unix_ms", F.lit(began)), "chunks": chunks, "shared": shared, "postings": lexical.postings(chunks)}
+    def _write(self, files: DataFrame, level: str, mode: str, began: int, scanned: int) -> dict:
+        """A snapshot of everything made from the files."""
+        chunks = chunks_of(files.select("rel_path", "body"))
+        kept = files.join(chunks.select("rel_path").distinct(), "rel_path", "left_semi")
+        shared = chunks.groupBy(*SHARED).agg(F.count("*").alias("ref_count"))
+        tables = {"files": kept.withColumn("indexed_at_unix_ms", F.lit(began)), "chunks": chunks, "shared": shared, "postings": lexical.by_token(lexical.postings(chunks)), "stats": lexical.corpus_stats(chunks)}
         if level == "fts+vector":
-            if known is not None:  # only texts without a vector are embedded
-                new = shared.join(known, "shared_normalized_text_hash", "left_anti")
-                made = vector.embed(new, "shared_normalized_text").select("shared_normalized_text_hash", "vector")
-                tables["vectors"] = known.join(shared.select("shared_normalized_text_hash"), "shared_normalized_text_hash", "left_semi").unionByName(made)
-            else:
-                tables["vectors"] = vector.embed(shared, "shared_normalized_text").select("shared_normalized_text_hash", "vector")
-        run = self.spark.createDataFrame([(began, mode, began, int(time.time() * 1000), scanned, 0, 0, None)], S.RUNS)
-        if self.store.exists():
-            run = self.store.read("runs").unionByName(run)
-        tables["runs"] = run
-        self.store.commit(tables, {"index_level": level, "chunk_mode": "line+short-merge"})
-        return {"scanned_files": scanned, "indexed_files": self.store.read("files").count(), "chunks_indexed": self.store.read("chunks").count()}
+            tables["vectors"] = vector.embed(shared, SHARED[1]).select(SHARED[0], "vector")
+        return self._commit(tables, level, mode, began, scanned, None)
+
+    def _commit(self, tables: dict[str, DataFrame], level: str, mode: str, began: int, scanned: int, fresh: DataFrame | None) -> dict:
+        """Writes the tables, then the run with what was written, then swaps; the index is clean from there on."""
+        past = self.store.read("runs") if self.store.exists() else None
+        told = {}
+
+        def finish(read) -> dict[str, DataFrame]:
+            told.update(scanned_files=scanned, indexed_files=read("files").where(F.col("indexed_at_unix_ms") == began).count(), chunks_indexed=read("chunks").count() if fresh is None else fresh.count())
+            run = self.spark.createDataFrame([(began, mode, began, int(time.time() * 1000), *told.values(), None)], S.RUNS)
+            return {"runs": run if past is None else past.unionByName(run)}
+
+        self.store.commit(tables, {"index_level": level, "chunk_mode": "line+short-merge"}, finish)
+        self.store.set_state(False, None, int(time.time() * 1000))
+        return told
 
     def reconcile(self, scope: str = "") -> dict[str, int]:
-        """Compares the tree with the index by size and time and writes only if something differs."""
-        tree = corpus.read_tree(self.spark, self.root, scope)
-        old = self.store.read("files")
-        inside = old.where(T.in_scope(F.col("rel_path"), scope or None))
-        changes = state.diff(inside, tree).cache()
-        counts = {r["status"]: r["count"] for r in changes.groupBy("status").count().collect()}
-        if set(counts) - {"unchanged"}:
-            with self.store.locked():
-                began = int(time.time() * 1000)
-                fresh = corpus.load(tree.join(changes.where("status in ('new', 'changed')"), "rel_path", "left_semi"))
-                files = state.replaced(old.drop("indexed_at_unix_ms"), changes, fresh)
-                level = self.store.settings()["index_level"]
-                known = self.store.read("vectors") if level == "fts+vector" else None
-                self._write(files, level, "reconcile", began, sum(counts.values()), known)
-        changes.unpersist()
-        return counts
+        """Compares the tree with the index by size and time and writes only if something differs.
+
+        Only new and changed files are read and chunked, only texts without a vector embedded; reference counts move by
+        the difference and texts that nothing refers to go.
+        """
+        try:
+            tree = corpus.read_tree(self.spark, self.root, scope)
+            old = self.store.read("files")
+            changes = state.diff(old.where(T.in_scope(F.col("rel_path"), scope or None)), tree).cache()
+            counts = {r["status"]: r["count"] for r in changes.groupBy("status").count().collect()}
+            if set(counts) - {"unchanged"}:
+                with self.store.locked():
+                    self._update(old, changes, tree, sum(counts.values()))
+            else:
+                self.store.set_state(False, None, int(time.time() * 1000))
+            changes.unpersist()
+            return counts
+        except Exception as e:
+            if self.store.exists():
+                self.store.set_state(True, f"reconcile failed: {type(e).__name__}")
+            raise
+
+    def _update(self, old: DataFrame, changes: DataFrame, tree: DataFrame, scanned: int) -> None:
+        began, key = int(time.time() * 1000), SHARED[0]
+        level = self.store.settings()["index_level"]
+        fresh = corpus.load(tree.join(changes.where("status in ('new', 'changed')"), "rel_path", "left_semi"))
+        made = chunks_of(fresh.select("rel_path", "body")).persist()
+        gone = changes.where("status in ('changed', 'deleted')").select("rel_path")
+        stored = self.store.read("chunks")
+        chunks = state.replaced(stored, changes, made)
+        deltas = state.count_deltas(stored.join(gone, "rel_path", "left_semi"), made, key)
+        shared = state.counted(self.store.read("shared"), deltas, made, *SHARED)
+        new_files = fresh.join(made.select("rel_path").distinct(), "rel_path", "left_semi").withColumn("indexed_at_unix_ms", F.lit(began))
+        tables = {"files": state.replaced(old, changes, new_files), "chunks": chunks, "shared": shared, "postings": lexical.by_token(state.replaced(self.store.read("postings"), changes, lexical.postings(made))), "stats": lexical.corpus_stats(chunks)}
+        if level == "fts+vector":
+            known = self.store.read("vectors")
+            new = shared.join(known, key, "left_anti")
+            tables["vectors"] = state.collected(known, shared, key).unionByName(vector.embed(new, SHARED[1]).select(key, "vector"))
+        self._commit(tables, level, "reconcile", began, scanned, made)
+        made.unpersist()
 
-    def index(self) -> Index:
+    def mark_dirty(self, reason: str) -> dict:
+        return self.store.set_state(True, reason)
+
+    def _checked(self) -> str:
+        """The level of an index with all its tables; one that lacks some is marked dirty and refused."""
         level = self.store.settings()["index_level"]
+        if missing := self.store.missing_tables():
+            self.store.set_state(True, f"missing tables: {', '.join(missing)}")
+            raise ValueError(f"the index lacks {', '.join(missing)}; rebuild it")
+        return level
+
+    def index(self) -> Index:
+        level = self._checked()
         vectors = self.store.read("vectors") if level == "fts+vector" else None
-        return Index(self.store.read("files").select("rel_path", "body"), self.store.read("chunks"), vectors)
+        return Index(self.store.read("files").select("rel_path", "body"), self.store.read("chunks"), vectors, postings=self.store.read("postings"), stats=self.store.read("stats"))
 
     def status(self) -> dict:
-        level = self.store.settings()["index_level"]
-        chunks = self.store.read("chunks")
+        """Counts, readiness, state and the last run; an index with tables lost has no counts but a reason."""
+        overlaps = [r for side in corpus.covering_roots(self.root).values() for r in side if r != os.path.abspath(self.root)]
+        try:
+            level = self._checked()
+        except ValueError as e:
+            return self.store.state() | {"error": str(e), "overlapping_roots": overlaps}
+        chunks, key = self.store.read("chunks"), ["rel_path", "chunk_index"]
         vectors = self.store.read("vectors") if level == "fts+vector" else None
-        row = state.status(self.store.read("files"), chunks, self.store.read("shared"), chunks, vectors).first()
-        return row.asDict() | {"index_level": level, "latest_run": state.latest_run(self.store.read("runs")).first().asDict()}
+        # A chunk without any token has no posting and needs none.
+        silent = chunks.where(F.size(T.tokens(F.col("normalized_text"))) == 0).select(*key)
+        row = state.status(self.store.read("files"), chunks, self.store.read("shared"), self.store.read("postings").select(*key).distinct().unionByName(silent), vectors).first()
+        return row.asDict() | self.store.state() | {"index_level": level, "latest_run": state.latest_run(self.store.read("runs")).first().asDict(), "overlapping_roots": overlaps}
+
+    def file_counts(self, rel_path: str) -> dict:
+        """Chunks and references to shared texts of one file."""
+        row = self.store.read("chunks").where(F.col("rel_path") == rel_path).agg(F.count("*").alias("chunks"), F.count_distinct(SHARED[0]).alias("shared")).first()
+        return row.asDict()
 
     def delete(self) -> bool:
         return self.store.delete()

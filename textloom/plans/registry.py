@@ -66,6 +66,11 @@ CHUNKS = (
 TOKENS = CHUNKS + r""", toks AS (SELECT *, list_filter(string_split_regex(translate(lower(normalized_text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\p{L}\p{N}\p{Co}]+'), lambda t: t <> '') AS tk FROM chunks)"""
 
 
+# The snippet of a text: at most 200 bytes of whole characters.
+SNIP = "CASE WHEN octet_length(encode({0})) <= 200 THEN {0} ELSE left({0}, coalesce(list_max(list_filter(range(1, 201), lambda n: octet_length(encode(left({0}, n))) <= 200)), 0)) || '...' END"
+TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+
+
 def bm25_sql(words: list[str], where: str = "true", name: str = "lex") -> str:
     f = ", ".join(f"len(list_filter(tk, lambda t: t = '{w}')) AS f{i}" for i, w in enumerate(words))
     n = ", ".join(f"count(*) FILTER (f{i} > 0) AS n{i}" for i in range(len(words)))
@@ -135,11 +140,11 @@ def matches_all_terms(spark, d):
     return table(spark, d, "conversations").where(T.matches_all(F.col("text"), F.lit("  The ING "))).select("conv_id", "turn")
 
 
-@query(r"""SELECT doc_id, regexp_replace((['- ', '* ', '> - ', '### ', '#', ''])[CAST(doc_id % 6 AS INTEGER) + 1] || left(text, 40), '^(?:[-*+>] |#+ )\s*', '') AS plain FROM documents""")
+@query(rf"""WITH {LINES} SELECT rel_path, line_number, regexp_replace((['- ', '* ', '> - ', '### ', '#', ''])[CAST(line_number % 6 AS INTEGER) + 1] || line, '^(?:[-*+>] |#+ )\s*', '') AS plain FROM lines""")
 def decorator_strip(spark, d):
     marks = F.array(*[F.lit(m) for m in ("- ", "* ", "> - ", "### ", "#", "")])
-    line = F.concat(F.element_at(marks, (F.col("doc_id") % 6 + 1).cast("int")), F.left("text", F.lit(40)))
-    return table(spark, d, "documents").select("doc_id", T.undecorated(line).alias("plain"))
+    rows = corpus.line_rows(files(spark, d))
+    return rows.select("rel_path", "line_number", T.undecorated(F.concat(F.element_at(marks, (F.col("line_number") % 6 + 1).cast("int")), "line")).alias("plain"))
 
 
 @query(r"""SELECT DISTINCT event_type AS term, list_sort(list_distinct(list_concat([lower(event_type)], string_split_regex(lower(event_type), '[^a-z0-9]+')))) AS parts FROM events""")
@@ -225,7 +230,7 @@ def bm25_file(spark, d):
     return _lexical(spark, d, "src1/1.md", "file")
 
 
-@query(f"""WITH {TOKENS}, q AS (SELECT item_id AS query_id, unnest(list_filter(string_split_regex(translate(lower(left(text, 60)), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\\p{{L}}\\p{{N}}\\p{{Co}}]+'), lambda t: t <> '')) AS token FROM benchmark),
+@query(f"""WITH {TOKENS}, q AS (SELECT item_id AS query_id, unnest(list_filter(string_split_regex(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\\p{{L}}\\p{{N}}\\p{{Co}}]+'), lambda t: t <> '')) AS token FROM benchmark),
     want AS (SELECT query_id, token, count(*) AS times FROM q GROUP BY 1, 2),
     post AS (SELECT rel_path, chunk_index, dl, token, count(*) AS tf FROM (SELECT rel_path, chunk_index, len(tk) AS dl, unnest(tk) AS token FROM toks) GROUP BY ALL),
     df AS (SELECT token, count(*) AS n FROM post GROUP BY 1), st AS (SELECT count(*) AS docs, sum(len(tk)) AS total FROM toks),
@@ -234,7 +239,7 @@ def bm25_file(spark, d):
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, rel_path, chunk_index) - 1 AS rank FROM sc)
     SELECT query_id, rel_path, chunk_index, round(bm25, 6) AS bm25, rank FROM r WHERE rank < 10""")
 def search_batch(spark, d):
-    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.left("text", F.lit(60)).alias("text"))
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return rounded(lexical.batch_candidates(chunks(spark, d), asked, 10), "bm25").select("query_id", "rel_path", "chunk_index", "bm25", F.col("rank").cast("long"))
 
 
@@ -244,12 +249,12 @@ def search_batch(spark, d):
 @query("""WITH b AS (SELECT item_id, encode('passage: ' || text) AS raw FROM benchmark),
     h AS (SELECT item_id, hex(raw) AS hx, octet_length(raw) AS n FROM b),
     e AS (SELECT item_id, unnest(range(n)) AS i, hx FROM h),
-    v AS (SELECT item_id, i % 384 AS slot, sum(CAST('0x' || substr(hx, i * 2 + 1, 2) AS INTEGER) % 31 + 1) AS x FROM e GROUP BY 1, 2)
-    SELECT item_id, sum(x)::DOUBLE AS total, max(x)::DOUBLE AS largest, sum(slot * x)::DOUBLE AS moment FROM v GROUP BY 1""")
+    v AS (SELECT item_id, i % 384 AS slot, sum(CAST('0x' || substr(hx, i * 2 + 1, 2) AS INTEGER) % 31 + 1) AS x FROM e GROUP BY 1, 2),
+    g AS (SELECT item_id, s AS slot FROM b, range(384) r(s))
+    SELECT item_id, slot, coalesce(x, 0)::DOUBLE AS x FROM g LEFT JOIN v USING (item_id, slot)""")
 def det_embedding(spark, d):
     v = vector.embed(table(spark, d, "benchmark").select("item_id", "text"), "text")
-    s = v.select("item_id", F.posexplode("vector").alias("slot", "x")).withColumn("x", F.col("x").cast("double"))
-    return s.groupBy("item_id").agg(F.sum("x").alias("total"), F.max("x").alias("largest"), F.sum(F.col("slot") * F.col("x")).alias("moment"))
+    return v.select("item_id", F.posexplode("vector").alias("slot", "x")).select("item_id", F.col("slot").cast("long"), F.col("x").cast("double"))
 
 
 _KNN = """WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0),
@@ -307,49 +312,47 @@ _FUSED = (
 @query(f"WITH {_FUSED} SELECT rel_path, chunk_index, round(score, 6) AS score, round(lexical_score, 6) AS lexical_score, f = 1 AS indexed_text_match, r = 1 AS partial_text_match FROM final")
 def fuse_fts(spark, d):
     f = files(spark, d)
-    hits = fuse.fuse(Index(f, chunk.text_chunks(f)).channels(QUERY)).orderBy(*fuse.priority()).limit(S.RESULT_LIMIT)
+    hits = fuse.fuse(Index(f, chunk.text_chunks(f)).kept().channels(QUERY)).orderBy(*fuse.priority()).limit(S.RESULT_LIMIT)
     return rounded(hits.select("rel_path", "chunk_index", "score", "lexical_score", "indexed_text_match", "partial_text_match"), "score", "lexical_score")
 
 
-@query(rf"""WITH {_FUSED} SELECT rel_path, CASE WHEN r = 1 THEN regexp_replace(lline, '^\s+|\s+$', '', 'g') ELSE CASE WHEN octet_length(encode(raw_text)) <= 200 THEN raw_text ELSE '<long>' END END AS snippet,
-    CASE WHEN r = 1 THEN lno ELSE line_start END AS line_start, CASE WHEN r = 1 THEN lno ELSE line_end END AS line_end, CASE WHEN r = 1 AND f = 1 THEN 'rf' WHEN r = 1 THEN 'r' ELSE 'f' END AS channel_label
-    FROM final JOIN chunks USING (rel_path, chunk_index)""")
+@query(rf"""WITH {_FUSED}, shown AS (SELECT *, {TRIM.format("CASE WHEN r = 1 THEN lline ELSE raw_text END")} AS x FROM final JOIN chunks USING (rel_path, chunk_index))
+    SELECT rel_path, {SNIP.format("x")} AS snippet,
+    CASE WHEN r = 1 THEN lno ELSE line_start END AS line_start, CASE WHEN r = 1 THEN lno ELSE line_end END AS line_end, CASE WHEN r = 1 AND f = 1 THEN 'rf' WHEN r = 1 THEN 'r' ELSE 'f' END AS channel_label FROM shown""")
 def search_fts(spark, d):
-    hits = flagship(spark, d).select("rel_path", "snippet", "line_start", "line_end", "channel_label")
-    return hits.withColumn("snippet", F.when(F.col("snippet").endswith("...") & (F.octet_length("snippet") > 190) & ~F.col("channel_label").contains("r"), "<long>").otherwise(F.col("snippet")))
+    return flagship(spark, d).select("rel_path", "snippet", "line_start", "line_end", "channel_label")
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     f = files(spark, d)
-    return Index(f, chunk.text_chunks(f)).search(QUERY)
+    return Index(f, chunk.text_chunks(f)).kept().search(QUERY)
 
 
 @query()
 def search_hybrid(spark, d):
     f = files(spark, d)
-    hits = Index.build(f, "fts+vector").search(QUERY)
+    hits = Index.build(f, "fts+vector").kept().search(QUERY)
     return rounded(hits.select("rel_path", "chunk_index", "snippet", "score", "lexical_score", "vector_score", "channel_label"), "score", "lexical_score", "vector_score")
 
 
-_CAP = """WITH h AS (SELECT vec_id AS chunk_index, CASE WHEN vec_id % 4 = 0 THEN 1.0 ELSE 0.0 END AS lexical_score, 1.0 / (20 + vec_id) AS score FROM embeddings WHERE vec_id < 60),
-    r AS (SELECT *, sum(CASE WHEN lexical_score = 0 THEN 1 ELSE 0 END) OVER (ORDER BY lexical_score DESC, score DESC ROWS UNBOUNDED PRECEDING) AS n FROM h)
-    SELECT chunk_index FROM r WHERE lexical_score > 0 OR n <= 5"""
-
-
-@query(_CAP)
+@query("""WITH h AS (SELECT label, vec_id, CASE WHEN vec_id % 40 = label THEN 1.0 ELSE 0.0 END AS lexical_score, 1.0 / (20 + vec_id) AS score FROM embeddings),
+    r AS (SELECT *, sum(CASE WHEN lexical_score = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY label ORDER BY lexical_score DESC, vec_id ROWS UNBOUNDED PRECEDING) AS n, max(lexical_score) OVER (PARTITION BY label) AS any_lexical FROM h)
+    SELECT label, vec_id FROM r WHERE lexical_score > 0 OR n <= 5 OR any_lexical = 0""")
 def semantic_cap(spark, d):
-    lex = F.col("vec_id") % 4 == 0
-    hits = table(spark, d, "embeddings").where("vec_id < 60").select(F.lit("p").alias("rel_path"), F.col("vec_id").alias("chunk_index"), (1.0 / (20 + F.col("vec_id"))).alias("score"), F.when(lex, 1.0).otherwise(0.0).alias("lexical_score"), F.lit(0.5).alias("vector_score"), lex.alias("indexed_text_match"), F.lit(False).alias("partial_text_match"))
-    return fuse.cap_semantic(hits).select("chunk_index")
+    """Hits of many queries: a label is a query, all embeddings are its hits."""
+    lex = F.col("vec_id") % 40 == F.col("label")
+    hits = table(spark, d, "embeddings").select("label", "vec_id", F.format_string("%020d", "vec_id").alias("rel_path"), F.lit(0).alias("chunk_index"), F.lit(0.0).alias("score"), F.when(lex, 1.0).otherwise(0.0).alias("lexical_score"), F.lit(0.5).alias("vector_score"), lex.alias("indexed_text_match"), F.lit(False).alias("partial_text_match"))
+    return fuse.cap_semantic(hits, by=("label",)).select("label", "vec_id")
 
 
-@query(f"""WITH {CHUNKS}, hit AS (SELECT rel_path, chunk_index FROM chunks WHERE contains(normalized_text, 'licensed under'))
-    SELECT h.rel_path, h.chunk_index, count(*) AS n_chunks, min(c.line_start) AS line_start, max(c.line_end) AS line_end FROM hit h JOIN chunks c ON h.rel_path = c.rel_path AND c.chunk_index BETWEEN h.chunk_index - 1 AND h.chunk_index + 1 GROUP BY 1, 2""")
+@query(rf"""WITH {CHUNKS}, hit AS (SELECT rel_path, chunk_index FROM chunks WHERE contains(normalized_text, 'licensed under')),
+    shown AS (SELECT rel_path, chunk_index, line_start, line_end, {TRIM.format("raw_text")} AS x FROM chunks)
+    SELECT h.rel_path, h.chunk_index, string_agg({SNIP.format("c.x")}, chr(10) ORDER BY c.chunk_index) AS snippet, min(c.line_start) AS line_start, max(c.line_end) AS line_end
+        FROM hit h JOIN shown c ON h.rel_path = c.rel_path AND c.chunk_index BETWEEN h.chunk_index - 1 AND h.chunk_index + 1 GROUP BY 1, 2""")
 def snippet_context(spark, d):
     c = chunks(spark, d)
     hits = c.where(F.contains("normalized_text", F.lit("licensed under"))).select("rel_path", "chunk_index", F.lit(None).cast("int").alias("literal_line_number"), F.lit(None).cast("string").alias("literal_preview"))
-    shown = materialize.snippets(hits, c.withColumn("raw_text", F.lit("x")), 1, 1)
-    return shown.select("rel_path", "chunk_index", F.size(F.split("snippet", "\n")).cast("long").alias("n_chunks"), F.col("line_start").cast("long"), F.col("line_end").cast("long"))
+    return materialize.snippets(hits, c, 1, 1).select("rel_path", "chunk_index", "snippet", F.col("line_start").cast("long"), F.col("line_end").cast("long"))
 
 
 @query("""WITH t AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS x FROM documents), p AS (SELECT doc_id, x, list_filter(range(1, 201), lambda n: octet_length(encode(left(x, n))) <= 200) AS fits FROM t)
@@ -435,34 +438,52 @@ def bench_percentiles(spark, d):
 
 
 def _observed(spark, d):
+    """Twenty consecutive documents are the hits of a case."""
     w = Window.partitionBy("case_id").orderBy("doc_id")
-    t = table(spark, d, "documents").where("doc_id < 200").select(F.col("lang").alias("case_id"), F.col("source").alias("rel_path"), F.left("text", F.lit(30)).alias("snippet"), "doc_id")
+    t = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 20).cast("long").alias("case_id"), F.col("source").alias("rel_path"), F.coalesce("text", F.lit("")).alias("snippet"), "doc_id")
     return t.withColumn("rank", F.row_number().over(w)).drop("doc_id")
 
 
-_OBSERVED = "o AS (SELECT lang AS case_id, source AS rel_path, left(text, 30) AS snippet, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rank FROM documents WHERE doc_id < 200)"
+_OBSERVED = "o AS (SELECT doc_id // 20 AS case_id, source AS rel_path, coalesce(text, '') AS snippet, row_number() OVER (PARTITION BY doc_id // 20 ORDER BY doc_id) AS rank FROM documents)"
+_EXPECTED = f"{_OBSERVED}, x AS (SELECT case_id, rel_path AS path, min(rank) AS first, arg_min(snippet, rank) AS snippet FROM o GROUP BY 1, 2), e AS (SELECT case_id, path, first <= 3 AND contains(snippet, 'the') AS passed FROM x)"
+_COMPARED = "g AS (SELECT case_id, rank, CASE WHEN rank % 10 = 0 AND case_id % 3 = 0 THEN 'other' ELSE rel_path END AS rel_path FROM o), c AS (SELECT case_id, rank, coalesce(g.rel_path = o.rel_path, false) AS same FROM o FULL JOIN g USING (case_id, rank))"
 
 
-@query(f"WITH {_OBSERVED}, f AS (SELECT case_id, rel_path AS path, min(rank) AS first FROM o GROUP BY 1, 2) SELECT case_id, path, first <= 3 AS passed FROM f")
-def quality_expectations(spark, d):
-    o = _observed(spark, d)
-    want = o.select("case_id", F.col("rel_path").alias("path")).distinct().select("case_id", "path", F.lit(3).alias("within_top"), F.lit(None).cast("string").alias("snippet_contains"))
+def _expected(o):
+    want = o.select("case_id", F.col("rel_path").alias("path")).distinct().select("case_id", "path", F.lit(3).alias("within_top"), F.lit("the").alias("snippet_contains"))
     return quality.expectations(want, o)
 
 
-@query(f"WITH {_OBSERVED}, g AS (SELECT case_id, rank, CASE WHEN rank % 10 = 0 THEN 'other' ELSE rel_path END AS rel_path FROM o WHERE rank <= 20) SELECT case_id, rank, coalesce(g.rel_path = o.rel_path, false) AS same FROM o FULL JOIN g USING (case_id, rank)")
+def _compared(o):
+    g = o.withColumn("rel_path", F.when((F.col("rank") % 10 == 0) & (F.col("case_id") % 3 == 0), "other").otherwise(F.col("rel_path")))
+    return quality.golden(g, o, ["rel_path"])
+
+
+@query(f"WITH {_EXPECTED} SELECT case_id, path, passed FROM e")
+def quality_expectations(spark, d):
+    return _expected(_observed(spark, d))
+
+
+@query(f"WITH {_OBSERVED}, {_COMPARED} SELECT case_id, rank, same FROM c")
 def golden_diff(spark, d):
+    return _compared(_observed(spark, d))
+
+
+@query(f"""WITH {_EXPECTED}, {_COMPARED}, b AS (SELECT case_id, bool_or(NOT passed) AS bad_e FROM e GROUP BY 1), k AS (SELECT case_id, bool_or(NOT same) AS bad_g FROM c GROUP BY 1)
+    SELECT count(*) AS cases, count(*) FILTER (NOT bad_e AND NOT bad_g) AS passed, count(*) FILTER (bad_e) AS failed_expectations, count(*) FILTER (bad_g) AS failed_golden FROM b JOIN k USING (case_id)""")
+def quality_totals(spark, d):
     o = _observed(spark, d)
-    g = o.where("rank <= 20").withColumn("rel_path", F.when(F.col("rank") % 10 == 0, "other").otherwise(F.col("rel_path")))
-    return quality.golden(g, o, ["rel_path"])
+    return quality.totals(o.select("case_id").distinct(), _expected(o), _compared(o))
 
 
 # -- checked by tests only -----------------------------------------------------------------------------------------
 
 
-@query()
+@query("""SELECT source, json_object('schema_version', 10, 'index_level', 'fts', 'files', count(*), 'bytes', sum(octet_length(encode(coalesce(text, '')))), 'dirty', count(*) FILTER (n_chars > 5000) > 0)::VARCHAR AS state FROM documents GROUP BY 1""")
 def state_json(spark, d):
-    return spark.range(1).select(F.to_json(F.struct(F.lit(10).alias("schema_version"), F.lit("fts").alias("index_level"), F.lit(False).alias("dirty"))).alias("state"))
+    """The state of one index a source, as JSON."""
+    t = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("files"), F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("bytes"), (F.count_if(F.col("n_chars") > 5000) > 0).alias("dirty"))
+    return t.select("source", F.to_json(F.struct(F.lit(10).alias("schema_version"), F.lit("fts").alias("index_level"), "files", "bytes", "dirty")).alias("state"))
 
 
 @query("SELECT * FROM (VALUES ('a.md', 1, 'needle'), ('b.md', 4, 'x')) t(path, line_number, line)")

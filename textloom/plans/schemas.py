@@ -19,3 +19,5 @@ CHUNKS = "rel_path string, chunk_index int, line_start int, line_end int, raw_te
 SETTINGS = "key string, value string"
 STATE = "dirty boolean, dirty_reason string, last_sync_unix_ms long"
 RUNS = "run_id long, mode string, started_unix_ms long, finished_unix_ms long, scanned_files long, indexed_files long, chunks_indexed long, error string"
+REQUIRED_TABLES = ("files", "chunks", "shared", "postings", "stats", "runs")
+LEVELS = ("fts", "fts+vector")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import fnmatch
 import os
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,28 +18,77 @@ def from_documents(docs: DataFrame) -> DataFrame:
     return docs.select(path.alias("rel_path"), F.coalesce("text", F.lit("")).alias("body"))
 
 
-def _rules(folder: str) -> list[tuple[str, bool]]:
-    """(pattern, ignored) of a folder's ignore files, the last match decides."""
+def _pattern(line: str) -> tuple[re.Pattern, bool, bool] | None:
+    """(pattern of paths below the folder, ignored, folders only) of a line of an ignore file; None for blanks and comments.
+
+    A slash at the start or inside ties the pattern to the file's own folder; ``*`` and ``?`` stay within a name, ``**``
+    spans folders.
+    """
+    line = re.sub(r"(?<!\\)\s+$", "", line)
+    if not line or line.startswith("#"):
+        return None
+    ignored = not line.startswith("!")
+    line = line if ignored else line[1:]
+    line = line[1:] if line.startswith(("\\#", "\\!")) else line
+    folders = line.endswith("/")
+    tied = "/" in line.rstrip("/")
+    line = line.strip("/")
+    out, i = "" if tied else "(?:.*/)?", 0
+    while i < len(line):
+        if line.startswith("**/", i) and (i == 0 or line[i - 1] == "/"):
+            out, i = out + "(?:.*/)?", i + 3
+        elif line[i:] == "**" and i and line[i - 1] == "/":
+            out, i = out + ".+", i + 2
+        elif line[i] == "*":
+            out, i = out + "[^/]*", i + 1
+        elif line[i] == "?":
+            out, i = out + "[^/]", i + 1
+        elif line[i] == "[" and "]" in line[i + 2 :]:
+            end = line.index("]", i + 2)
+            inner = line[i + 1 : end]
+            out, i = out + "(?!/)[" + ("^" + inner[1:] if inner[0] in "!^" else inner).replace("\\", "\\\\") + "]", end + 1
+        elif line[i] == "\\" and i + 1 < len(line):
+            out, i = out + re.escape(line[i + 1]), i + 2
+        else:
+            out, i = out + re.escape(line[i]), i + 1
+    return re.compile(out + r"\Z", re.DOTALL), ignored, folders
+
+
+def _rules(folder: str, names: tuple[str, ...] = (".gitignore", ".ignore", ".textloomignore")) -> list[tuple[re.Pattern, bool, bool]]:
+    """The patterns of a folder's ignore files in order, the last match decides."""
     out = []
-    for name in (".gitignore", ".ignore", ".textloomignore"):
+    for name in names:
         path = os.path.join(folder, name)
         if os.path.isfile(path):
             with open(path, encoding="utf-8", errors="replace") as f:
-                for line in f.read().splitlines():
-                    if line.strip() and not line.startswith("#"):
-                        out.append((line.strip().lstrip("!"), not line.startswith("!")))
+                out += [p for p in map(_pattern, f.read().splitlines()) if p]
     return out
 
 
-def _ignored(rel: str, is_dir: bool, chain: list[tuple[str, list[tuple[str, bool]]]]) -> bool:
+def _above(root: str) -> list[tuple[str, list]]:
+    """Rules of the repository's folders above the root (up to the one that holds ``.git``) and of its ``info/exclude``, outermost first.
+
+    Their patterns are tied to those folders, so each comes with the path from there to the root.
+    """
+    out, at, below = [], os.path.abspath(root), ""
+    while True:
+        if os.path.isdir(os.path.join(at, ".git")):
+            out.append((below, _rules(os.path.join(at, ".git", "info"), ("exclude",))))
+            return out[::-1]
+        up = os.path.dirname(at)
+        if up == at:
+            return []  # no repository: folders above have no say
+        below = f"{os.path.basename(at)}/{below}" if below else os.path.basename(at)
+        at = up
+        out.append((below, _rules(at)))
+
+
+def _ignored(rel: str, is_dir: bool, chain: list[tuple[str, list]], above: list[tuple[str, list]]) -> bool:
     verdict = False
-    for base, rules in chain:
-        inner = rel[len(base) :].lstrip("/") if base else rel
-        for pattern, ignored in rules:
-            if pattern.endswith("/") and not is_dir:
-                continue
-            p = pattern.strip("/")
-            if fnmatch.fnmatch(inner if "/" in p else os.path.basename(rel), p):
+    named = [(f"{below}/{rel}" if below else rel, rules) for below, rules in above] + [(rel[len(base) :].lstrip("/"), rules) for base, rules in chain]
+    for inner, rules in named:
+        for pattern, ignored, folders in rules:
+            if (is_dir or not folders) and pattern.match(inner):
                 verdict = ignored
     return verdict
 
@@ -47,14 +96,17 @@ def _ignored(rel: str, is_dir: bool, chain: list[tuple[str, list[tuple[str, bool
 def walk(root: str, scope: str = "") -> list[str]:
     """Candidate files below a local root: no hidden names, no links, ignore files respected; sorted."""
     found: list[str] = []
+    above = _above(root)
 
     def visit(rel: str, chain: list) -> None:
         folder = os.path.join(root, rel)
         chain = [*chain, (rel, _rules(folder))]
         for name in sorted(os.listdir(folder)):
+            if scope and not (inside := f"{rel}/{name}" if rel else name).startswith(scope.rstrip("/") + "/") and not (scope.rstrip("/") + "/").startswith(inside + "/"):
+                continue  # neither in the scope nor above it
             path = f"{rel}/{name}" if rel else name
             full = os.path.join(root, path)
-            if name.startswith(".") or os.path.islink(full) or _ignored(path, os.path.isdir(full), chain):
+            if name.startswith(".") or os.path.islink(full) or _ignored(path, os.path.isdir(full), chain, above):
                 continue
             if os.path.isdir(full):
                 visit(path, chain)
@@ -70,12 +122,18 @@ def read_tree(spark: SparkSession, root: str, scope: str = "") -> DataFrame:
     paths = [os.path.join(root, p) for p in walk(root, scope)]
     if not paths:
         return spark.createDataFrame([], "rel_path string, size_bytes long, modified_unix_ms long, content binary")
-    base = os.path.abspath(root)
-    files = spark.read.format("binaryFile").load([f"file://{os.path.abspath(p)}" for p in paths])
-    rel = F.regexp_replace(F.url_decode(F.regexp_replace("path", r"^file:/+", "/")), "^" + base.replace(".", r"\.") + "/", "")
+    base = os.path.abspath(root).rstrip("/") + "/"
+    files = spark.read.format("binaryFile").load([_escaped(f"file://{os.path.abspath(p)}") for p in paths])
+    whole = F.regexp_replace("path", r"^file:/+", "/")  # a plain path, not an encoded address
+    rel = F.substring(whole, F.lit(len(base) + 1), F.length(whole))
     return files.select(rel.alias("rel_path"), F.col("length").alias("size_bytes"), F.unix_millis("modificationTime").alias("modified_unix_ms"), "content")
 
 
+def _escaped(path: str) -> str:
+    """The path with the characters that a reader would take for a pattern escaped."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
 def extension(path: Column) -> Column:
     return F.regexp_extract(path, r"\.([^./]+)$", 1)
 
@@ -132,3 +190,22 @@ def find_root(path: str, marker: str = ".textloom") -> str | None:
         if up == at:
             return None
         at = up
+
+
+def covering_roots(path: str, marker: str = ".textloom", depth: int = 8) -> dict[str, list[str]]:
+    """Index roots around a path: the folder itself and those above it (nearest first), and those at most ``depth`` below."""
+    at = os.path.abspath(path)
+    above, up = [], at
+    while True:
+        if os.path.isdir(os.path.join(up, marker)):
+            above.append(up)
+        if os.path.dirname(up) == up:
+            break
+        up = os.path.dirname(up)
+    below = []
+    for folder, names, _ in os.walk(at):
+        level = 0 if folder == at else os.path.relpath(folder, at).count(os.sep) + 1
+        if level and marker in names:
+            below.append(folder)
+        names[:] = sorted(n for n in names if not n.startswith(".")) if level < depth else []
+    return {"ancestors": above, "descendants": below}
