@@ -5,16 +5,32 @@ White space is Unicode White_Space, so patterns carry ``(?U)``.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Folding table of the tokenizer for Latin letters with diacritics, and the inline split marker.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-UNACCENTED = "aaaaaaceeeeiiiinooooouuuuyy"
+# The inline split marker, the length of snippets.
 CHUNK_MARKER = " :: "
 SNIPPET_BYTES = 200
 
 
+def _folding() -> tuple[str, str]:
+    """Arguments of ``translate``: Latin lower-case letters whose canonical decomposition is a plain letter and marks, and those letters;
+    then the marks that occur in them, which stand for nothing."""
+    plain, marks = {}, set()
+    for letter in map(chr, (*range(0x00C0, 0x0250), *range(0x1E00, 0x1F00))):
+        base, *rest = unicodedata.normalize("NFD", letter)
+        if rest and base.isascii() and base.isalpha():
+            marks.update(rest)
+            if letter == letter.lower():
+                plain[letter] = base
+    return "".join(plain) + "".join(sorted(marks)), "".join(plain.values())
+
+
+ACCENTED, UNACCENTED = _folding()
+
+
 def trimmed(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
@@ -36,7 +52,9 @@ def matches_all(candidate: Column, query: Column) -> Column:
 
 
 def folded(c: Column) -> Column:
-    return F.translate(F.lower(c), ACCENTED, UNACCENTED)
+    """Lower case without diacritics; a text of single-byte characters has none and is not looked through."""
+    low = F.lower(c)
+    return F.when(F.octet_length(low) == F.char_length(low), low).otherwise(F.translate(low, ACCENTED, UNACCENTED))
 
 
 def tokens(c: Column) -> Column:

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 from textloom.plans.schemas import SHORT_CHUNK
 
+# How chunks are made and what a scope and a walk cover, as the status tells it.
+CHUNK_MODE = "line+short-merge"
+POLICIES = {"scope": "the path and what is below it", "walk": "no hidden names, no links, ignore files respected"}
+
 
 def segments(files: DataFrame) -> DataFrame:
     """Non-empty segments of each line, split at the inline marker, trimmed, without decoration."""

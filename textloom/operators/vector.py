@@ -42,13 +42,19 @@ def from_bytes(raw: Column, dims: int = VECTOR_DIMS) -> Column:
 
 
 def embed(rows: DataFrame, column: str, prefix: str = "passage", dims: int = VECTOR_DIMS, embedder=embed_text) -> DataFrame:
-    """rows with a ``vector`` column. ``embedder(text, prefix, dims)`` runs in Arrow batches; a model plugs in here."""
+    """rows with a ``vector`` column. ``embedder(text, prefix, dims)`` runs in Arrow batches; a model plugs in here.
+
+    An embedder with a method ``many(texts, prefix, dims)`` gets the texts by ``textloom.embed.batchSize`` (64) at a time.
+    """
+    size = int(rows.sparkSession.conf.get("textloom.embed.batchSize", "64"))
     names = rows.columns
     at = names.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = [embedder(t or "", prefix, dims) for t in batch.column(at).to_pylist()]
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            many = getattr(embedder, "many", None)
+            vectors = [v for i in range(0, len(texts), size) for v in many(texts[i : i + size], prefix, dims)] if many else [embedder(t, prefix, dims) for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(vectors, pa.list_(pa.float32()))], [*names, "vector"])
 
     return rows.mapInArrow(run, StructType([*rows.schema, StructField("vector", ArrayType(FloatType()))]))

@@ -51,6 +51,7 @@ class Index:
     def __init__(self, files: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, dims: int = S.VECTOR_DIMS, embedder=vector.embed_text, postings: DataFrame | None = None, stats: DataFrame | None = None):
         self.postings, self.stats = postings, stats  # stored ones, if there are any
         self.files, self.chunks, self.vectors, self.dims, self.embedder = files, chunks, vectors, dims, embedder
+        self.held: list[DataFrame] = []
 
     def kept(self) -> Index:
         """The index with its chunks (and vectors) held by the executors, in memory or on their disks, so that the branches of a search don't
@@ -60,7 +61,7 @@ class Index:
         return self
 
     def close(self) -> None:
-        for held in (self.chunks, self.vectors):
+        for held in (self.chunks, self.vectors, *self.held):
             if held is not None:
                 held.unpersist()
 
@@ -93,9 +94,18 @@ class Index:
             out = out.unionByName(fuse.channel(rows.withColumn("rank", F.row_number().over(order) - 1), "vector"))
         return out
 
-    def search(self, query: str, scope: str | None = None, kind: str = "dir", limit: int = S.RESULT_LIMIT, before: int = 0, after: int = 0) -> DataFrame:
-        """Fused hits in order: literal before lexical before semantic; materialized, then capped, then cut."""
-        hits = materialize.snippets(fuse.fuse(self.channels(query, scope, kind)), self.chunks, before, after)
+    def search(self, query: str, scope: str | None = None, kind: str = "dir", limit: int = S.RESULT_LIMIT, before: int = 0, after: int = 0, live: str | None = None) -> DataFrame:
+        """Fused hits in order: literal before lexical before semantic; materialized, then capped, then cut.
+
+        With ``live``, the root of the files, snippets come from the files of the hits as they are now; hits whose file or
+        chunk is gone go. The hits are held until ``close``.
+        """
+        hits, texts = fuse.fuse(self.channels(query, scope, kind)), self.chunks
+        if live is not None:
+            hits = hits.persist()
+            self.held.append(hits)
+            texts = chunks_of(corpus.reread(hits, live))
+        hits = materialize.snippets(hits, texts, before, after)
         if self.vectors is not None:
             hits = fuse.cap_semantic(hits)
         label = T.channel_label(F.col("partial_text_match"), F.col("indexed_text_match"), F.col("vector_score"))
@@ -110,12 +120,20 @@ class Index:
 SHARED = ("shared_normalized_text_hash", "shared_normalized_text")
 
 
-def reconcile_covering(spark: SparkSession, path: str) -> dict[str, dict[str, int]]:
-    """Reconciles every index around the path: those of folders above within the path, those below as a whole."""
+def reconcile_covering(spark: SparkSession, path: str, needed: str | None = None) -> dict[str, dict[str, int]]:
+    """Reconciles every index around the path: those of folders above within the path, those below as a whole.
+
+    With ``needed`` only that root's failure is raised; the others are left marked dirty.
+    """
     at, out = os.path.abspath(path), {}
     around = corpus.covering_roots(at)
     for root in around["ancestors"] + around["descendants"]:
-        out[root] = Engine(spark, root).reconcile("" if root.startswith(at) else os.path.relpath(at, root))
+        inside = root == at or root.startswith(at.rstrip("/") + "/")
+        try:
+            out[root] = Engine(spark, root).reconcile("" if inside else os.path.relpath(at, root))
+        except Exception:
+            if needed is None or root == needed:
+                raise
     return out
 
 
@@ -135,7 +153,7 @@ class Engine:
     def rebuild(self, level: str | None = None, mode: str = "rebuild") -> dict:
         """Everything anew; without a level the stored one stays."""
         with self.store.locked():
-            level = level or (self.store.pointer()["settings"].get("index_level", "fts") if self.store.exists() else "fts")
+            level = level or self.level()
             began = int(time.time() * 1000)
             tree = corpus.read_tree(self.spark, self.root)
             files = corpus.load(tree)
@@ -161,7 +179,7 @@ class Engine:
             run = self.spark.createDataFrame([(began, mode, began, int(time.time() * 1000), *told.values(), None)], S.RUNS)
             return {"runs": run if past is None else past.unionByName(run)}
 
-        self.store.commit(tables, {"index_level": level, "chunk_mode": "line+short-merge"}, finish)
+        self.store.commit(tables, {"index_level": level, "chunk_mode": chunk.CHUNK_MODE}, finish)
         self.store.set_state(False, None, int(time.time() * 1000))
         return told
 
@@ -207,6 +225,18 @@ class Engine:
         self._commit(tables, level, "reconcile", began, scanned, made)
         made.unpersist()
 
+    def level(self) -> str:
+        """The stored level; without an index the first one."""
+        return self.store.pointer()["settings"].get("index_level", S.LEVELS[0]) if self.store.exists() else S.LEVELS[0]
+
+    def search(self, query: str, scope: str | None = None, kind: str = "dir", limit: int = S.RESULT_LIMIT, before: int = 0, after: int = 0) -> list:
+        """The hits, with snippets of the files as they are now."""
+        index = self.index()
+        try:
+            return index.search(query, scope, kind, limit, before, after, self.root).collect()
+        finally:
+            index.close()
+
     def mark_dirty(self, reason: str) -> dict:
         return self.store.set_state(True, reason)
 
@@ -229,13 +259,13 @@ class Engine:
         try:
             level = self._checked()
         except ValueError as e:
-            return self.store.state() | {"error": str(e), "overlapping_roots": overlaps}
+            return {"root": self.root} | self.store.state() | {"error": str(e), "overlapping_roots": overlaps}
         chunks, key = self.store.read("chunks"), ["rel_path", "chunk_index"]
         vectors = self.store.read("vectors") if level == "fts+vector" else None
         # A chunk without any token has no posting and needs none.
         silent = chunks.where(F.size(T.tokens(F.col("normalized_text"))) == 0).select(*key)
         row = state.status(self.store.read("files"), chunks, self.store.read("shared"), self.store.read("postings").select(*key).distinct().unionByName(silent), vectors).first()
-        return row.asDict() | self.store.state() | {"index_level": level, "latest_run": state.latest_run(self.store.read("runs")).first().asDict(), "overlapping_roots": overlaps}
+        return {"root": self.root} | row.asDict() | self.store.state() | {"index_level": level, "latest_run": state.latest_run(self.store.read("runs")).first().asDict(), "overlapping_roots": overlaps}
 
     def file_counts(self, rel_path: str) -> dict:
         """Chunks and references to shared texts of one file."""

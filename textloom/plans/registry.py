@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textloom.functions import router
 from textloom.functions import text as T
 from textloom.operators import chunk, code, fuse, lexical, literal, materialize, quality, scan, state, vector
+from textloom.plans import dev
 from textloom.plans import schemas as S
 from textloom.plans.engine import Index, chunks_of
 from textloom.sources import corpus
@@ -63,7 +64,7 @@ CHUNKS = (
     + NORM.format("string_agg(raw, chr(10) ORDER BY line_number, seg)")
     + " AS normalized_text FROM islands GROUP BY rel_path, ci)"
 )
-TOKENS = CHUNKS + r""", toks AS (SELECT *, list_filter(string_split_regex(translate(lower(normalized_text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\p{L}\p{N}\p{Co}]+'), lambda t: t <> '') AS tk FROM chunks)"""
+TOKENS = CHUNKS + r""", toks AS (SELECT *, list_filter(string_split_regex(strip_accents(lower(normalized_text)), '[^\p{L}\p{N}\p{Co}]+'), lambda t: t <> '') AS tk FROM chunks)"""
 
 
 # The snippet of a text: at most 200 bytes of whole characters.
@@ -181,12 +182,18 @@ def chunk_refs(spark, d):
 
 @query(f"WITH {CHUNKS} SELECT rel_path, count(*) AS n FROM chunks GROUP BY rel_path ORDER BY n DESC, rel_path LIMIT 10")
 def top_files(spark, d):
-    return chunks(spark, d).groupBy("rel_path").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "rel_path").limit(10)
+    return dev.top_files(chunks(spark, d), 10)
 
 
 @query(f"WITH {CHUNKS} SELECT normalized_text, count(*) AS ref_count FROM chunks GROUP BY 1 ORDER BY ref_count DESC, normalized_text LIMIT 10")
 def top_shared(spark, d):
-    return chunk.shared_chunks(chunks(spark, d)).select("normalized_text", "ref_count").orderBy(F.desc("ref_count"), "normalized_text").limit(10)
+    return dev.top_shared(chunk.shared_chunks(chunks(spark, d)), "normalized_text", 10)
+
+
+@query(f"WITH {CHUNKS} SELECT rel_path, count(*) AS chunks, count(DISTINCT normalized_text) AS shared FROM chunks GROUP BY 1")
+def file_counts(spark, d):
+    """Chunks and distinct texts of every file."""
+    return chunks(spark, d).groupBy("rel_path").agg(F.count("*").alias("chunks"), F.count_distinct("normalized_text").alias("shared"))
 
 
 @query("SELECT coalesce(lang, '<none>') AS key, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, key")
@@ -404,6 +411,17 @@ def gc_orphans(spark, d):
     return state.unreferenced(c.select("hash").distinct(), c.where(~T.in_scope(F.col("rel_path"), "src1")), "hash")
 
 
+@query("SELECT vec_id, 4 * len(embedding) AS bytes, len(embedding) AS dims, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS total FROM embeddings")
+def vector_bytes(spark, d):
+    """Vectors to bytes and back."""
+    t = table(spark, d, "embeddings")
+    dims = t.select(F.max(F.size("embedding"))).first()[0]
+    raw = t.select("vec_id", vector.to_bytes(F.col("embedding")).alias("raw"))
+    back = raw.select("vec_id", F.octet_length("raw").cast("long").alias("bytes"), vector.from_bytes(F.col("raw"), dims).alias("v"))
+    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return back.select("vec_id", "bytes", F.size("v").cast("long").alias("dims"), F.round(total, 4).alias("total"))
+
+
 @query("SELECT * FROM (VALUES ('index_level', 'fts+vector'), ('schema_version', '10'), ('chunk_mode', 'line+short-merge')) t(key, value)")
 def upsert_settings(spark, d):
     old = spark.createDataFrame([("index_level", "fts"), ("schema_version", "10")], S.SETTINGS)
@@ -497,10 +515,28 @@ def is_regex_router(spark, d):
     return spark.createDataFrame([(q, router.is_regex(q)) for q in ("TODO|FIXME", "C++", "v1.2.3", "colou?r{1,2}")], "query string, is_regex boolean")
 
 
-@query("SELECT * FROM (VALUES ('/a/b/c', '/a/b'), ('/a/x', '/a'), ('/z', NULL)) t(path, root)")
+_ROOTS = """p AS (SELECT DISTINCT unnest(['/' || source, '/' || source || '/' || doc_id % 10 || '/' || doc_id]) AS path FROM documents WHERE source IS NOT NULL),
+    r AS (SELECT DISTINCT unnest(CASE WHEN doc_id % 10 < 3 THEN ['/' || source || '/' || doc_id % 10, '/' || source] ELSE ['/' || source || '/' || doc_id % 10 || '/' || doc_id] END) AS root FROM documents WHERE source <> 'src1')"""
+
+
+def _paths_and_roots(spark, d):
+    """Every source is a folder, with ten folders of documents; all but one source are indexed, some folders and documents, too."""
+    t = table(spark, d, "documents").where("source IS NOT NULL").select("source", F.concat(F.lit("/"), "source").alias("a"), (F.col("doc_id") % 10).alias("k"), F.col("doc_id").cast("string").alias("i"))
+    t = t.withColumn("b", F.concat_ws("/", "a", F.col("k").cast("string"))).withColumn("c", F.concat_ws("/", "b", "i"))
+    roots = t.where("source <> 'src1'").select(F.explode(F.when(F.col("k") < 3, F.array("b", "a")).otherwise(F.array("c"))).alias("root"))
+    return t.select(F.explode(F.array("a", "c")).alias("path")).distinct(), roots
+
+
+@query(f"""WITH {_ROOTS} SELECT path, arg_max(root, length(root)) AS root FROM p LEFT JOIN r ON path = root OR starts_with(path, root || '/') GROUP BY path""")
 def root_discovery(spark, d):
-    roots = spark.createDataFrame([("/a",), ("/a/b",)], "root string")
-    return corpus.root_of(spark.createDataFrame([("/a/b/c",), ("/a/x",), ("/z",)], "path string"), roots)
+    return corpus.root_of(*_paths_and_roots(spark, d))
+
+
+@query(f"""WITH {_ROOTS} SELECT path, root, 'ancestor' AS relation FROM p JOIN r ON path = root OR starts_with(path, root || '/')
+    UNION ALL SELECT path, root, 'descendant' FROM p JOIN r ON starts_with(root, path || '/')""")
+def roots_around(spark, d):
+    """The roots above each document and folder, and those below each folder."""
+    return corpus.roots_around(*_paths_and_roots(spark, d))
 
 
 SOURCES = [("src/lib.rs", "/// parse docs\npub fn parse_query(input: &str) -> String {\n    let retry_backoff_ms = input.len();\n    retry_backoff_ms.to_string()\n}\n\npub struct Parser;\npub const DEFAULT_LIMIT: usize = 20;\n"), ("parser.py", "# alpha docs\nDEFAULT_LIMIT = 20\n\nclass Parser:\n    pass\n\ndef parse_query(input):\n    return input\n"), ("parser.ts", "interface ParserOptions {}\nconst makeParser = (input: string) => input;\nconst DEFAULT_LIMIT = 20;\n")]
@@ -512,7 +548,13 @@ def code_symbols(spark, d):
     return code.symbol_chunks(spark.createDataFrame(SOURCES, "rel_path string, body string")).select("rel_path", "symbol_kind", "line_start", "line_end")
 
 
-@query()
+_SYMBOLS = """('src/lib.rs', 0, 2, 5, 'function'), ('src/lib.rs', 1, 7, 7, 'struct'), ('src/lib.rs', 2, 8, 8, 'constant'), ('parser.py', 0, 2, 2, 'constant'), ('parser.py', 1, 4, 5, 'class'),
+    ('parser.py', 2, 7, 8, 'function'), ('parser.ts', 0, 1, 1, 'interface'), ('parser.ts', 1, 2, 2, 'function'), ('parser.ts', 2, 3, 3, 'constant')"""
+
+
+@query(f"""WITH {CHUNKS} SELECT rel_path, chunk_index, line_start, line_end, 'text' AS chunk_kind, NULL::VARCHAR AS symbol_kind FROM chunks
+    UNION ALL SELECT rel_path, chunk_index, line_start, line_end, 'symbol', symbol_kind FROM (VALUES {_SYMBOLS}) t(rel_path, chunk_index, line_start, line_end, symbol_kind)""")
 def index_mixed(spark, d):
+    """Chunks of all documents and of three files of code, whose symbols are fixed values."""
     more = spark.createDataFrame(SOURCES, "rel_path string, body string")
     return chunks_of(files(spark, d).unionByName(more)).select("rel_path", "chunk_index", "line_start", "line_end", "chunk_kind", "symbol_kind")

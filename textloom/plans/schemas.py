@@ -21,3 +21,9 @@ STATE = "dirty boolean, dirty_reason string, last_sync_unix_ms long"
 RUNS = "run_id long, mode string, started_unix_ms long, finished_unix_ms long, scanned_files long, indexed_files long, chunks_indexed long, error string"
 REQUIRED_TABLES = ("files", "chunks", "shared", "postings", "stats", "runs")
 LEVELS = ("fts", "fts+vector")
+
+
+def parse_level(value: str) -> str:
+    if value not in LEVELS:
+        raise ValueError(f"{value!r} is no index level; known are {' and '.join(LEVELS)}")
+    return value

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,7 +67,7 @@ def _rules(folder: str, names: tuple[str, ...] = (".gitignore", ".ignore", ".tex
     return out
 
 
-def _above(root: str) -> list[tuple[str, list]]:
+def _rules_above(root: str) -> list[tuple[str, list]]:
     """Rules of the repository's folders above the root (up to the one that holds ``.git``) and of its ``info/exclude``, outermost first.
 
     Their patterns are tied to those folders, so each comes with the path from there to the root.
@@ -96,7 +98,7 @@ def _ignored(rel: str, is_dir: bool, chain: list[tuple[str, list]], above: list[
 def walk(root: str, scope: str = "") -> list[str]:
     """Candidate files below a local root: no hidden names, no links, ignore files respected; sorted."""
     found: list[str] = []
-    above = _above(root)
+    above = _rules_above(root)
 
     def visit(rel: str, chain: list) -> None:
         folder = os.path.join(root, rel)
@@ -119,7 +121,12 @@ def walk(root: str, scope: str = "") -> list[str]:
 
 def read_tree(spark: SparkSession, root: str, scope: str = "") -> DataFrame:
     """rel_path, size_bytes, modified_unix_ms, content of the candidates; the bytes are read by the executors."""
-    paths = [os.path.join(root, p) for p in walk(root, scope)]
+    return read_files(spark, root, walk(root, scope))
+
+
+def read_files(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
+    """The named files of a root, as ``read_tree`` gives them."""
+    paths = [os.path.join(root, p) for p in names]
     if not paths:
         return spark.createDataFrame([], "rel_path string, size_bytes long, modified_unix_ms long, content binary")
     base = os.path.abspath(root).rstrip("/") + "/"
@@ -129,6 +136,22 @@ def read_tree(spark: SparkSession, root: str, scope: str = "") -> DataFrame:
     return files.select(rel.alias("rel_path"), F.col("length").alias("size_bytes"), F.unix_millis("modificationTime").alias("modified_unix_ms"), "content")
 
 
+def reread(paths: DataFrame, root: str) -> DataFrame:
+    """rel_path, body of the files as they are now, one at a time on the executors; those that are gone or no UTF-8 are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                try:
+                    with open(os.path.join(root, name), "rb") as f:
+                        body = f.read().decode()
+                except (OSError, UnicodeDecodeError):
+                    continue
+                yield pa.RecordBatch.from_pydict({"rel_path": [name], "body": [body]})
+
+    return paths.select("rel_path").distinct().mapInArrow(run, "rel_path string, body string")
+
+
 def _escaped(path: str) -> str:
     """The path with the characters that a reader would take for a pattern escaped."""
     return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
@@ -174,10 +197,34 @@ def line_rows(files: DataFrame) -> DataFrame:
     return files.select("rel_path", F.posexplode(T.lines(F.col("body"))).alias("p", "line")).select("rel_path", (F.col("p") + 1).alias("line_number"), "line")
 
 
+def _above(column: str) -> Column:
+    """The absolute path itself and every folder above it."""
+    parts = F.split(column, "/")
+    return F.transform(F.sequence(F.lit(2), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+
+
 def root_of(paths: DataFrame, roots: DataFrame) -> DataFrame:
-    """The nearest index root that is the path or above it: path, root (null if none)."""
-    covers = (F.col("path") == F.col("root")) | F.col("path").startswith(F.concat("root", F.lit("/")))
-    return paths.join(roots, covers, "left").groupBy("path").agg(F.max_by("root", F.length("root")).alias("root"))
+    """The nearest index root that is the path or above it: path, root (null if none). Joined on equal folder names."""
+    up = paths.select("path", F.explode(_above("path")).alias("root")).join(roots.distinct(), "root")
+    near = up.groupBy("path").agg(F.max_by("root", F.length("root")).alias("root"))
+    return paths.distinct().join(near, "path", "left")
+
+
+def roots_around(paths: DataFrame, roots: DataFrame, depth: int = 8) -> DataFrame:
+    """path, root, relation: every root that is the path or above it (ancestor), and those at most ``depth`` folders below (descendant)."""
+    paths, roots = paths.distinct(), roots.distinct()
+    up = paths.select("path", F.explode(_above("path")).alias("root")).join(roots, "root").select("path", "root", F.lit("ancestor").alias("relation"))
+    near = F.size(F.split("root", "/")) - F.size(F.split("path", "/"))
+    below = roots.select("root", F.explode(_above("root")).alias("path")).where(near.between(1, depth)).join(paths, "path")
+    return up.unionByName(below.select("path", "root", F.lit("descendant").alias("relation")))
+
+
+def scope_kind(root: str, path: str) -> tuple[str | None, str]:
+    """Scope (None: the whole root) and kind (dir or file) of a path at or below an index root."""
+    at = os.path.relpath(os.path.abspath(path), os.path.abspath(root))
+    if at == ".." or at.startswith("../"):
+        raise ValueError(f"{path} is not below {root}")
+    return (None if at == "." else at.replace(os.sep, "/")), "file" if os.path.isfile(path) else "dir"
 
 
 def find_root(path: str, marker: str = ".textloom") -> str | None:
