@@ -324,7 +324,7 @@ def fuse_fts(spark, d):
 
 
 @query(rf"""WITH {_FUSED}, shown AS (SELECT *, {TRIM.format("CASE WHEN r = 1 THEN lline ELSE raw_text END")} AS x FROM final JOIN chunks USING (rel_path, chunk_index))
-    SELECT rel_path, {SNIP.format("x")} AS snippet,
+    SELECT rel_path, CASE WHEN r = 1 THEN x ELSE {SNIP.format("x")} END AS snippet,
     CASE WHEN r = 1 THEN lno ELSE line_start END AS line_start, CASE WHEN r = 1 THEN lno ELSE line_end END AS line_end, CASE WHEN r = 1 AND f = 1 THEN 'rf' WHEN r = 1 THEN 'r' ELSE 'f' END AS channel_label FROM shown""")
 def search_fts(spark, d):
     return flagship(spark, d).select("rel_path", "snippet", "line_start", "line_end", "channel_label")
@@ -335,7 +335,27 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return Index(f, chunk.text_chunks(f)).kept().search(QUERY)
 
 
-@query()
+def embedded_sql(name: str, prefix: str, texts: str) -> str:
+    """The deterministic embedding of a column of texts, as rows (text, slot, x) of what is not 0."""
+    return f"""{name}_hex AS (SELECT text, hex(encode('{prefix}: ' || text)) AS hx FROM ({texts}) t),
+    {name}_at AS (SELECT text, hx, unnest(range(length(hx) // 2)) AS i FROM {name}_hex),
+    {name} AS (SELECT text, i % {S.VECTOR_DIMS} AS slot, sum(CAST('0x' || substr(hx, i * 2 + 1, 2) AS INTEGER) % 31 + 1)::DOUBLE AS x FROM {name}_at GROUP BY 1, 2)"""
+
+
+_HYBRID_ORDER = "r DESC, (vector_score > 0)::INT + f + r DESC, f DESC, vector_score > 0 DESC, round(score, 9) DESC, round(lexical_score, 6) DESC, rel_path, chunk_index"
+
+
+@query(rf"""WITH {_FUSED}, {embedded_sql("pv", "passage", "SELECT DISTINCT normalized_text AS text FROM chunks")}, {embedded_sql("qv", "query", f"SELECT '{QUERY}' AS text")},
+    sims AS (SELECT pv.text, sum(pv.x * coalesce(qv.x, 0)) / (sqrt(sum(pv.x * pv.x)) * (SELECT sqrt(sum(x * x)) FROM qv)) AS vector_score FROM pv LEFT JOIN qv USING (slot) GROUP BY 1),
+    best AS (SELECT text, vector_score FROM sims ORDER BY round(vector_score, 6) DESC, sha256(text) LIMIT 96),
+    fan AS (SELECT rel_path, chunk_index, vector_score, row_number() OVER (ORDER BY round(vector_score, 6) DESC, sha256(text), rel_path, chunk_index) - 1 AS rank FROM chunks JOIN best ON normalized_text = text WHERE vector_score >= 0.2),
+    ch3 AS (SELECT *, 0.0 AS vector_score FROM ch UNION ALL SELECT rel_path, chunk_index, rank, 0.0, 0, 0, NULL, NULL, vector_score FROM fan),
+    hits AS (SELECT rel_path, chunk_index, sum(1.0 / (20 + rank)) AS score, max(lexical_score) AS lexical_score, max(vector_score) AS vector_score, max(f) AS f, max(r) AS r, max(line) AS lline FROM ch3 GROUP BY 1, 2 HAVING max(lexical_score) > 0 OR max(vector_score) > 0),
+    capped AS (SELECT *, sum((lexical_score <= 0)::INT) OVER (ORDER BY {_HYBRID_ORDER} ROWS UNBOUNDED PRECEDING) AS n, bool_or(lexical_score > 0) OVER () AS any_lexical FROM hits),
+    top AS (SELECT * FROM capped WHERE lexical_score > 0 OR n <= 5 OR NOT any_lexical ORDER BY {_HYBRID_ORDER} LIMIT 20),
+    seen AS (SELECT top.*, {TRIM.format("CASE WHEN r = 1 THEN lline ELSE raw_text END")} AS x FROM top JOIN chunks USING (rel_path, chunk_index))
+    SELECT rel_path, chunk_index, CASE WHEN r = 1 THEN x ELSE {SNIP.format("x")} END AS snippet, round(score, 6) AS score, round(lexical_score, 6) AS lexical_score, round(vector_score, 6) AS vector_score,
+        CASE WHEN r = 1 THEN 'r' ELSE '' END || CASE WHEN f = 1 THEN 'f' ELSE '' END || CASE WHEN vector_score > 0 THEN 'v' ELSE '' END AS channel_label FROM seen""")
 def search_hybrid(spark, d):
     f = files(spark, d)
     hits = Index.build(f, "fts+vector").kept().search(QUERY)
