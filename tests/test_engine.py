@@ -155,6 +155,29 @@ def test_code_symbols():
     assert code.symbols("x.py", "def (") == [] and code.symbols("x.md", "class A") == []
 
 
+RUST = """pub trait Shape<const N: usize> { type Out; fn area(&self) -> f64; fn twice(&self) -> f64 { 2.0 * self.area() } }
+impl<'a, T: Into<f64>> Shape<2> for Square<'a, T> where T: Copy { type Out = T; fn area(&self) -> f64 { 1.0 } }
+unsafe impl Send for Pair<A, B> {}
+mod inner { pub(crate) const fn one() -> *const u8 { 1 } static LIMIT: &'static str = "fn not()"; }
+fn takes<T, const M: usize>(f: fn(u8)) -> impl Fn(u8) -> u8 { make!{ fn hidden() {} } }
+macro_rules! make { ($x:item) => { fn inside() {} } }
+#[derive(Debug)] struct Last;
+"""
+
+
+def test_rust_symbols_by_place():
+    got = [(s["symbol_kind"], s["raw_text"].split()[1], s["line_start"], s["container"]) for s in code.symbols("a.rs", RUST)]
+    assert got == [("trait", "Shape", 1, None), ("function", "twice", 1, "Shape"), ("type", "Out", 2, "Square<'a, T>"), ("function", "area", 2, "Square<'a, T>"), ("module", "inner", 4, None), ("function", "one", 4, "inner"), ("constant", "LIMIT", 4, "inner"), ("function", "takes", 5, None), ("struct", "Last", 7, None)]
+
+
+def test_script_symbols_by_place():
+    ts = "const A = class Named { run(x) { return function inner() {}; } };\nexport default async function main() {}\nfunction* gen() {}\nfunction over(a: string): void;\nconst f = function g() {};\nadd(function h() {});\n"
+    got = [(s["symbol_kind"], s["raw_text"].split()[1], s["line_start"]) for s in code.symbols("a.ts", ts)]
+    calls = "class A {\n  get size(): number { return 1; }\n  run(): void {\n    this.go();\n    go(1);\n  }\n  abstract stop(): void;\n}\n"
+    assert [(s["symbol_kind"], s["raw_text"].split()[1], s["container"]) for s in code.symbols("a.ts", calls)] == [("class", "A", None), ("method", "size", "A"), ("method", "run", "A"), ("method", "stop", "A")]
+    assert got == [("constant", "A", 1), ("class", "Named", 1), ("method", "run", 1), ("function", "main", 2), ("function", "over", 4), ("function", "f", 5)]
+
+
 def test_walk_respects_ignore_files(tmp_path):
     (tmp_path / "child").mkdir()
     (tmp_path / ".ignore").write_text("*.md")

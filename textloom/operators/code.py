@@ -1,8 +1,7 @@
 """Code symbols: functions, types and constants of source files, as chunks.
 
 No grammar library is assumed: Python is parsed by ``ast``; Rust, JavaScript and TypeScript by a tolerant scanner that
-blanks strings and comments, matches declarations by pattern and pairs braces. Declarations inside expressions
-and macros may be missed by the scanner.
+blanks strings, comments and the arguments of macros, matches declarations by pattern and place, and pairs braces.
 """
 
 from __future__ import annotations
@@ -24,11 +23,13 @@ _SCRIPT = [
     ("class", r"\b(?:abstract\s+)?class\s+([A-Za-z_$][\w$]*)"),
     ("interface", r"\binterface\s+([A-Za-z_$][\w$]*)"),
     ("module", r"\bmodule\s+([A-Za-z_$][\w$.]*)"),
-    ("function", r"\bfunction\s*\*?\s*([A-Za-z_$][\w$]*)"),
+    ("function", r"\b(?:async\s+)?function\s+([A-Za-z_$][\w$]*)"),
     ("binding", r"^(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)"),
-    ("method", r"^[ \t]+(?:(?:public|private|protected|static|async|get|set|abstract|readonly)\s+)*\*?([A-Za-z_$][\w$]*)\s*(?:<[^>\n]*>)?\([^;{}]*\)\s*(?::[^;{}\n]+)?[;{]"),
+    ("method", r"(?:^|(?<=[{};]))[ \t]*(?:(?:public|private|protected|static|async|get|set|abstract|readonly)\s+)*\*?([A-Za-z_$][\w$]*)\s*(?:<[^>\n]*>)?\([^;{}]*\)\s*(?::[^;{}\n]+)?[;{]"),
 ]
 _RUST = [("function", "fn"), ("struct", "struct"), ("enum", "enum"), ("trait", "trait"), ("type", "type"), ("module", "mod"), ("constant", "const"), ("constant", "static")]
+_MACRO = re.compile(r"(?<![\w])[A-Za-z_]\w*!\s*(?:[A-Za-z_]\w*\s*)?[(\[{]")
+_OPERAND = re.compile(r"\b(?:return|new|typeof|void|await|yield|throw|in|of|case)\s*$")
 _NOT_METHODS = {"if", "for", "while", "switch", "catch", "function", "return", "with", "else", "do", "super", "constructor_"}
 # Words that are no identifiers to the grammars.
 _KEYWORDS = {
@@ -96,18 +97,61 @@ def block_end(code: str, at: int) -> int:
     return len(code)
 
 
+def without_macros(code: str) -> str:
+    """Rust code with what macros are given as spaces: it is no code of its own."""
+    out, at = code, 0
+    while m := _MACRO.search(out, at):
+        opened, end = 0, len(out)
+        for k in range(m.end() - 1, len(out)):
+            opened += (out[k] in "([{") - (out[k] in ")]}")
+            if not opened:
+                end = k
+                break
+        out, at = out[: m.end()] + re.sub(r"[^\n]", " ", out[m.end() : end]) + out[end:], end
+    return out
+
+
+def before(code: str, at: int) -> str:
+    """The last character before a place that is no space; empty at the beginning."""
+    at -= 1
+    while at >= 0 and code[at].isspace():
+        at -= 1
+    return code[at] if at >= 0 else ""
+
+
+def implemented(code: str, body: str, at: int) -> str:
+    """The type that the ``impl`` at a place is for, as written with its arguments."""
+    stop = code.find("{", at)
+    head, depth, cuts = code[at : stop if stop >= 0 else len(code)], 0, []
+    for m in re.finditer(r"->|[<>(\[)\]]|\bfor\b(?!\s*<)|\bwhere\b", head):
+        depth += (m[0] in "<([") - (m[0] in ">)]")
+        if not depth and m[0] in (">", "for", "where"):
+            cuts.append((m[0], m.start(), m.end()))
+    generic = re.match(r"impl\s*<", head)
+    begin = next((e for c, _, e in cuts if c == ">"), len(head)) if generic else len("impl")
+    begin = next((e for c, _, e in cuts if c == "for"), begin)
+    return body[at + begin : at + next((b for c, b, _ in cuts if c == "where"), len(head))].strip()
+
+
 def scanned(body: str, language: str) -> list[tuple[str, str, int, int, str | None]]:
     """(kind, name, start, end, container) of each declaration, in order."""
     code = blanked(body, "//")
     found: list[tuple[str, str, int, int]] = []
     scopes: list[tuple[str, int, int]] = []
     if language == "rust":
+        code = without_macros(code)
         for kind, word in _RUST:
-            for m in re.finditer(rf"^[ \t]*((?:pub(?:\([^)]*\))?\s+)?(?:(?:default|async|unsafe|extern)\s+)*(?:const\s+(?=fn|unsafe))?{word}\s+(?:mut\s+)?([A-Za-z_]\w*))", code, re.M):
-                if not (word == "const" and m[2] in ("fn", "unsafe")):
-                    found.append((kind, m[2], m.start(1), block_end(code, m.start(1))))
-        for m in re.finditer(r"^[ \t]*impl\b(?:<[^>{]*>)?\s*(?:[\w:<>, ]+\s+for\s+)?([A-Za-z_][\w:]*)", code, re.M):
-            scopes.append((m[1], m.start(), block_end(code, m.start())))
+            for m in re.finditer(rf"(?<![\w'])((?:pub\b(?:\([^)]*\))?\s+)?(?:(?:default|async|unsafe|extern)\s+)*(?:const\s+(?=fn|unsafe|async|extern))?{word}\s+(?:mut\s+)?([A-Za-z_]\w*))", code):
+                end = block_end(code, m.start(1))
+                if before(code, m.start(1)) not in ("", *"{};]") or m[2] in ("fn", "unsafe", "async", "extern"):
+                    continue  # a parameter, a pointer, a bound
+                if kind == "function" and code[end - 1] != "}" or kind == "type" and "=" not in code[m.end() : end]:
+                    continue  # declared only
+                found.append((kind, m[2], m.start(1), end))
+        for m in re.finditer(r"(?<![\w'])impl\b", code):
+            word = re.compile(r"\b(?:unsafe|default)\s+$").search(code, max(0, m.start() - 16), m.start())
+            if before(code, word.start() if word else m.start()) in ("", *"{};]"):
+                scopes.append((implemented(code, body, m.start()), m.start(), block_end(code, m.start())))
         holders = {"struct", "enum", "trait", "type", "module"}
     else:
         for kind, pattern in _SCRIPT:
@@ -119,10 +163,13 @@ def scanned(body: str, language: str) -> list[tuple[str, str, int, int, str | No
                     real = "function" if re.match(r"[^=;]*=\s*(?:async\s*)?(?:function\b|\([^;{}]*\)\s*(?::[^=;]+)?=>|[\w$]+\s*=>)", value) else "constant"
                     start = m.start(1)
                     found.append((real, m[1], start, end))
+                elif kind == "function" and (before(code, start) in tuple("=(,:?[&|!+-.>") or _OPERAND.search(code, max(0, start - 16), start)):
+                    continue  # a named function as a value
                 elif kind != "method" or m[1] not in _NOT_METHODS:
                     found.append((kind, m[1], start, end))
         types = [(s, e) for k, _, s, e in found if k in ("class", "interface")]
-        found = [f for f in found if f[0] != "method" or any(s < f[2] < e for s, e in types)]
+        # A method stands in the braces of a type, not deeper: there the same words are a call.
+        found = [f for f in found if f[0] != "method" or any(s < f[2] < e and code.count("{", s, f[2]) - code.count("}", s, f[2]) == 1 for s, e in types)]
         holders = {"class", "interface", "module", "function"}
     scopes += [(name, s, e) for kind, name, s, e in found if kind in holders]
     found = sorted(set(found), key=lambda f: (f[2], -f[3]))
