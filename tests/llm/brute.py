@@ -92,3 +92,37 @@ def unigram(rows, modulus, remainder):
     c = collections.Counter(w for i in toks if zlib.crc32(str(i).encode()) % modulus != remainder for w in toks[i])
     n, v = sum(c.values()), len(c)
     return {i: (len(w), sum(x in c for x in w), n, sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w)) for i, w in toks.items()}
+
+
+def byte_stream(text, depth):
+    return b"\n" * depth + " ".join(words(lower(text))).encode() + b"\n"
+
+
+def suffix_tree(rows, modulus, remainder, depth, min_count, min_gain, mu):
+    """doc_id to log10 probability: every context of every training text counted in dictionaries."""
+    n = collections.defaultdict(collections.Counter)  # context to next bytes
+    for i, text in rows:
+        if zlib.crc32(str(i).encode()) % modulus != remainder:
+            stream = byte_stream(text, depth)
+            for at in range(depth, len(stream)):
+                for k in range(depth + 1):
+                    n[stream[at - k : at]][stream[at]] += 1
+    retained = set()
+    for context, after in n.items():
+        total, shorter = sum(after.values()), n[context[1:]]
+        if context and total >= min_count:
+            m = sum(shorter.values())
+            if sum(c * math.log(c / total * m / shorter[x]) for x, c in after.items()) >= min_gain:
+                retained.add(context)
+    out, size = {}, sum(n[b""].values())
+    for i, text in rows:
+        stream, logs = byte_stream(text, depth), 0.0
+        for at in range(depth, len(stream)):
+            p = (n[b""][stream[at]] + 1) / (size + 256)
+            for k in range(1, depth + 1):
+                context = stream[at - k : at]
+                if context in retained:
+                    p = (n[context][stream[at]] + mu * p) / (sum(n[context].values()) + mu)
+            logs += math.log10(p)
+        out[i] = logs
+    return out

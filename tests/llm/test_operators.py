@@ -465,6 +465,12 @@ def test_language_model(docs, rows):
         assert abs(r["base_score"] - want[3]) < 1e-6 * abs(want[3]) and r["score"] < 0
 
 
+def test_language_model_scores_equal_a_plain_tree(docs, rows):
+    want = brute.suffix_tree(rows, 7, 2, 4, 16, 20.0, 8.0)
+    out = suffixtree.score(docs, depth=4).collect()
+    assert len(out) == len(rows) and all(abs(r["score"] - want[r["doc_id"]]) < 1e-8 * abs(want[r["doc_id"]]) for r in out)
+
+
 def test_suffix_tree_distributions_sum_to_one(docs):
     from textloom.llm.common import Scratch
 
