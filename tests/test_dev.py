@@ -1,6 +1,7 @@
 """Suites, probes, live snippets, messages, rendering and the command line."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from textloom.functions import text as T
 from textloom.operators import vector
 from textloom.plans import dev, messages, render
 from textloom.plans import schemas as S
-from textloom.plans.engine import Engine
+from textloom.plans.engine import Engine, Index, chunks_of
 from textloom.sources import corpus
 
 
@@ -81,6 +82,37 @@ def test_live_snippets(spark, tmp_path):
     assert stored == {"a.md", "b.md", "c.md"}
 
 
+def test_unreadable_files_are_told(spark, tmp_path, monkeypatch):
+    root = tmp_path / "v"
+    root.mkdir()
+    for name in "ab":
+        (root / f"{name}.md").write_text(f"words of {name}")
+    engine = Engine(spark, str(root))
+    engine.rebuild()
+    real = os.access
+    monkeypatch.setattr(os, "access", lambda p, m: not str(p).endswith("a.md") and real(p, m))
+    assert engine.reconcile() == {"unchanged": 1}  # what is stored of the other stays
+    assert (engine.status()["dirty_reason"], engine.status()["files"]) == ("a.md cannot be read", 2)
+    assert engine.rebuild() == {"scanned_files": 2, "indexed_files": 1, "chunks_indexed": 1, "warnings": 1, "first_warning": "a.md cannot be read"}
+    assert engine.status()["latest_run"]["error"] == "a.md cannot be read"
+    monkeypatch.undo()
+    assert engine.reconcile() == {"unchanged": 1, "new": 1} and not engine.status()["dirty"]
+
+
+def test_own_scanner(spark):
+    class Exact:
+        def literal_scan(self, lines, literal):
+            return lines.where(F.col("line") == literal)
+
+        def regex_scan(self, lines, pattern):
+            return lines.limit(0)
+
+    f = spark.createDataFrame([("a.md", "needle"), ("b.md", "the needle")], "rel_path string, body string")
+    chunks = chunks_of(f)
+    found = {r["rel_path"]: r["channel_label"] for r in Index(f, chunks, scanner=Exact()).search("needle").collect()}
+    assert found == {"a.md": "rf", "b.md": "f"} and Index(f, chunks, scanner=Exact()).grep("x").count() == 0
+
+
 def test_benchmark(spark, vault, tmp_path):
     fixture, out = str(tmp_path / "f.json"), str(tmp_path / "o" / "r.json")
     dev.write_json(fixture, FIXTURE | {"cases": FIXTURE["cases"][:1]})

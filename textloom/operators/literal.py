@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators.scan import literal_scan
+from textloom.operators import scan
 from textloom.sources.corpus import line_rows
 
 
@@ -21,9 +21,9 @@ def line_to_chunk(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     return inside.groupBy("rel_path", "line_number").agg(best.alias("b")).select("rel_path", "line_number", "b.line", "b.chunk_index")
 
 
-def candidates(files: DataFrame, chunks: DataFrame, query: str, scope: str | None = None, kind: str = "dir") -> DataFrame:
+def candidates(files: DataFrame, chunks: DataFrame, query: str, scope: str | None = None, kind: str = "dir", scanner: scan.Scanner = scan) -> DataFrame:
     """Chunks that hold a line with the literal; literal_line_number is the first such line. No limit."""
-    lines = literal_scan(line_rows(files.where(T.in_scope(F.col("rel_path"), scope, kind))), query)
+    lines = scanner.literal_scan(line_rows(files.where(T.in_scope(F.col("rel_path"), scope, kind))), query)
     first = line_to_chunk(lines, chunks).groupBy("rel_path", "chunk_index").agg(F.min(F.struct("line_number", "line")).alias("l"))
     found = first.select("rel_path", "chunk_index", F.col("l.line_number").alias("literal_line_number"), T.trimmed(F.col("l.line")).alias("literal_preview"))
     return found.join(chunks, ["rel_path", "chunk_index"])

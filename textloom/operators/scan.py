@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+from typing import Protocol
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.router import java_pattern
 
 
+class Scanner(Protocol):
+    """What finds lines for a search; this module is the default one."""
+
+    def regex_scan(self, lines: DataFrame, pattern: str) -> DataFrame: ...
+
+    def literal_scan(self, lines: DataFrame, literal: str) -> DataFrame: ...
+
+    def with_context(self, lines: DataFrame, pattern: str, before: int, after: int) -> DataFrame: ...
+
+
 def regex_scan(lines: DataFrame, pattern: str) -> DataFrame:
     return lines.where(F.col("line").rlike(java_pattern(pattern)))
 

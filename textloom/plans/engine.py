@@ -48,7 +48,8 @@ def chunks_of(files: DataFrame) -> DataFrame:
 class Index:
     """Searches over files and chunks; ``vectors`` (hash, vector) only at level fts+vector."""
 
-    def __init__(self, files: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, dims: int = S.VECTOR_DIMS, embedder=vector.embed_text, postings: DataFrame | None = None, stats: DataFrame | None = None):
+    def __init__(self, files: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, dims: int = S.VECTOR_DIMS, embedder=vector.embed_text, postings: DataFrame | None = None, stats: DataFrame | None = None, scanner: scan.Scanner = scan):
+        self.scanner = scanner
         self.postings, self.stats = postings, stats  # stored ones, if there are any
         self.files, self.chunks, self.vectors, self.dims, self.embedder = files, chunks, vectors, dims, embedder
         self.held: list[DataFrame] = []
@@ -84,7 +85,7 @@ class Index:
         # at most 96 rows; ranked after the limit
         w = Window.orderBy(F.round("bm25", 6).desc(), "rel_path", "chunk_index")
         out = fuse.channel(lex.withColumn("rank", F.row_number().over(w) - 1), "lexical")
-        out = out.unionByName(fuse.channel(literal.ranked(literal.candidates(self.files, self.chunks, query, scope, kind)), "literal"))
+        out = out.unionByName(fuse.channel(literal.ranked(literal.candidates(self.files, self.chunks, query, scope, kind, self.scanner)), "literal"))
         if self.vectors is not None:
             inside = self.chunks.where(T.in_scope(F.col("rel_path"), scope, kind))
             key = "shared_normalized_text_hash"
@@ -113,10 +114,11 @@ class Index:
 
     def grep(self, pattern: str, scope: str | None = None, kind: str = "dir", before: int = 0, after: int = 0) -> DataFrame:
         rows = corpus.line_rows(self.files.where(T.in_scope(F.col("rel_path"), scope, kind)))
-        hits = scan.with_context(rows, pattern, before, after) if before or after else scan.regex_scan(rows, pattern)
+        hits = self.scanner.with_context(rows, pattern, before, after) if before or after else self.scanner.regex_scan(rows, pattern)
         return scan.ordered(hits)
 
 
+UNREAD = " cannot be read"
 SHARED = ("shared_normalized_text_hash", "shared_normalized_text")
 
 
@@ -155,11 +157,16 @@ class Engine:
         with self.store.locked():
             level = level or self.level()
             began = int(time.time() * 1000)
-            tree = corpus.read_tree(self.spark, self.root)
-            files = corpus.load(tree)
-            return self._write(files, level, mode, began, tree.count())
+            tree, warnings, scanned = self._tree()
+            return self._write(corpus.load(tree), level, mode, began, scanned, warnings)
 
-    def _write(self, files: DataFrame, level: str, mode: str, began: int, scanned: int) -> dict:
+    def _tree(self, scope: str = "") -> tuple[DataFrame, list[str], int]:
+        """The readable candidates, a warning for each of the others, and the number of all."""
+        names = corpus.walk(self.root, scope)
+        bad = set(corpus.unreadable(self.root, names))
+        return corpus.read_files(self.spark, self.root, [n for n in names if n not in bad]), [n + UNREAD for n in sorted(bad)], len(names)
+
+    def _write(self, files: DataFrame, level: str, mode: str, began: int, scanned: int, warnings: list[str]) -> dict:
         """A snapshot of everything made from the files."""
         chunks = chunks_of(files.select("rel_path", "body"))
         kept = files.join(chunks.select("rel_path").distinct(), "rel_path", "left_semi")
@@ -167,21 +174,24 @@ class Engine:
         tables = {"files": kept.withColumn("indexed_at_unix_ms", F.lit(began)), "chunks": chunks, "shared": shared, "postings": lexical.by_token(lexical.postings(chunks)), "stats": lexical.corpus_stats(chunks)}
         if level == "fts+vector":
             tables["vectors"] = vector.embed(shared, SHARED[1]).select(SHARED[0], "vector")
-        return self._commit(tables, level, mode, began, scanned, None)
+        return self._commit(tables, level, mode, began, scanned, None, warnings)
 
-    def _commit(self, tables: dict[str, DataFrame], level: str, mode: str, began: int, scanned: int, fresh: DataFrame | None) -> dict:
-        """Writes the tables, then the run with what was written, then swaps; the index is clean from there on."""
+    def _commit(self, tables: dict[str, DataFrame], level: str, mode: str, began: int, scanned: int, fresh: DataFrame | None, warnings: list[str]) -> dict:
+        """Writes the tables, then the run with what was written, then swaps; without warnings the index is clean from there on."""
         past = self.store.read("runs") if self.store.exists() else None
         told = {}
 
         def finish(read) -> dict[str, DataFrame]:
             told.update(scanned_files=scanned, indexed_files=read("files").where(F.col("indexed_at_unix_ms") == began).count(), chunks_indexed=read("chunks").count() if fresh is None else fresh.count())
-            run = self.spark.createDataFrame([(began, mode, began, int(time.time() * 1000), *told.values(), None)], S.RUNS)
+            run = self.spark.createDataFrame([(began, mode, began, int(time.time() * 1000), *told.values(), warnings[0] if warnings else None)], S.RUNS)
             return {"runs": run if past is None else past.unionByName(run)}
 
         self.store.commit(tables, {"index_level": level, "chunk_mode": chunk.CHUNK_MODE}, finish)
-        self.store.set_state(False, None, int(time.time() * 1000))
-        return told
+        self._settle(warnings)
+        return told | ({"warnings": len(warnings), "first_warning": warnings[0]} if warnings else {})
+
+    def _settle(self, warnings: list[str]) -> None:
+        self.store.set_state(bool(warnings), warnings[0] if warnings else None, int(time.time() * 1000))
 
     def reconcile(self, scope: str = "") -> dict[str, int]:
         """Compares the tree with the index by size and time and writes only if something differs.
@@ -190,15 +200,16 @@ class Engine:
         the difference and texts that nothing refers to go.
         """
         try:
-            tree = corpus.read_tree(self.spark, self.root, scope)
+            tree, warnings, scanned = self._tree(scope)
             old = self.store.read("files")
-            changes = state.diff(old.where(T.in_scope(F.col("rel_path"), scope or None)), tree).cache()
+            left = [w.removesuffix(UNREAD) for w in warnings]  # what is stored of them stays
+            changes = state.diff(old.where(T.in_scope(F.col("rel_path"), scope or None) & ~F.col("rel_path").isin(left)), tree).cache()
             counts = {r["status"]: r["count"] for r in changes.groupBy("status").count().collect()}
             if set(counts) - {"unchanged"}:
                 with self.store.locked():
-                    self._update(old, changes, tree, sum(counts.values()))
+                    self._update(old, changes, tree, scanned, warnings)
             else:
-                self.store.set_state(False, None, int(time.time() * 1000))
+                self._settle(warnings)
             changes.unpersist()
             return counts
         except Exception as e:
@@ -206,7 +217,7 @@ class Engine:
                 self.store.set_state(True, f"reconcile failed: {type(e).__name__}")
             raise
 
-    def _update(self, old: DataFrame, changes: DataFrame, tree: DataFrame, scanned: int) -> None:
+    def _update(self, old: DataFrame, changes: DataFrame, tree: DataFrame, scanned: int, warnings: list[str]) -> None:
         began, key = int(time.time() * 1000), SHARED[0]
         level = self.store.settings()["index_level"]
         fresh = corpus.load(tree.join(changes.where("status in ('new', 'changed')"), "rel_path", "left_semi"))
@@ -222,7 +233,7 @@ class Engine:
             known = self.store.read("vectors")
             new = shared.join(known, key, "left_anti")
             tables["vectors"] = state.collected(known, shared, key).unionByName(vector.embed(new, SHARED[1]).select(key, "vector"))
-        self._commit(tables, level, "reconcile", began, scanned, made)
+        self._commit(tables, level, "reconcile", began, scanned, made, warnings)
         made.unpersist()
 
     def level(self) -> str:

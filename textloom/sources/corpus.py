@@ -119,6 +119,11 @@ def walk(root: str, scope: str = "") -> list[str]:
     return [p for p in found if not scope or p == scope or p.startswith(scope.rstrip("/") + "/")]
 
 
+def unreadable(root: str, names: list[str]) -> list[str]:
+    """The names of a root that may not be read."""
+    return [n for n in names if not os.access(os.path.join(root, n), os.R_OK)]
+
+
 def read_tree(spark: SparkSession, root: str, scope: str = "") -> DataFrame:
     """rel_path, size_bytes, modified_unix_ms, content of the candidates; the bytes are read by the executors."""
     return read_files(spark, root, walk(root, scope))
@@ -130,7 +135,7 @@ def read_files(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
     if not paths:
         return spark.createDataFrame([], "rel_path string, size_bytes long, modified_unix_ms long, content binary")
     base = os.path.abspath(root).rstrip("/") + "/"
-    files = spark.read.format("binaryFile").load([_escaped(f"file://{os.path.abspath(p)}") for p in paths])
+    files = spark.read.format("binaryFile").option("ignoreMissingFiles", True).load([_escaped(f"file://{os.path.abspath(p)}") for p in paths])
     whole = F.regexp_replace("path", r"^file:/+", "/")  # a plain path, not an encoded address
     rel = F.substring(whole, F.lit(len(base) + 1), F.length(whole))
     return files.select(rel.alias("rel_path"), F.col("length").alias("size_bytes"), F.unix_millis("modificationTime").alias("modified_unix_ms"), "content")
