@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
@@ -92,10 +97,22 @@ def stored_candidates(index: DataFrame, stats: DataFrame, chunks: DataFrame, que
 
 
 def document_frequencies(chunks: DataFrame) -> DataFrame:
-    """token, df (chunks that hold it), tf (occurrences)."""
-    rows = chunks.select(F.explode(T.tokens(F.col("normalized_text"))).alias("token"), "rel_path", "chunk_index")
-    per_chunk = rows.groupBy("token", "rel_path", "chunk_index").agg(F.count("*").alias("tf"))
-    return per_chunk.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    """token, df (chunks that hold it), tf (occurrences). Counted in each batch of chunks, then by token; pairs of token and chunk are never grouped."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(0)
+            coded = lists.flatten().dictionary_encode()
+            size = len(coded.dictionary)
+            if not size:
+                continue
+            token = np.asarray(coded.indices)
+            row = np.repeat(np.arange(len(lists)), np.asarray(pc.fill_null(pc.list_value_length(lists), 0)))
+            df = np.bincount(np.unique(row * size + token) % size, minlength=size)
+            yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(df, pa.int64()), pa.array(np.bincount(token, minlength=size), pa.int64())], ["token", "df", "tf"])
+
+    counted = chunks.select(T.tokens(F.col("normalized_text")).alias("tokens")).mapInArrow(count, "token string, df long, tf long")
+    return counted.groupBy("token").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -115,19 +132,113 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count("*").alias("n_chunks"), F.sum(n).alias("total_tokens"))
 
 
-def batch_candidates(chunks: DataFrame, queries: DataFrame, limit: int = LEXICAL_LIMIT) -> DataFrame:
-    """query_id, rel_path, chunk_index, bm25, rank for many queries at once, by a join on tokens.
+# Up to so many rows (query, token) and queries a batch is scored where the chunks are; scores held at once.
+BATCH_PAIRS, BATCH_QUERIES, SCORES_AT_ONCE = 1_000_000, 20_000, 2_000_000
+
 
-    Tokens of a query count as often as it names them. The top rows of each query are found by partial ranking.
+def batch_candidates(chunks: DataFrame, queries: DataFrame, limit: int = LEXICAL_LIMIT, pairs: int = BATCH_PAIRS) -> DataFrame:
+    """query_id, rel_path, chunk_index, bm25, rank for many queries at once.
+
+    Tokens of a query count as often as it names them. The queries' tokens go to the chunks: one pass counts what holds them, a second
+    one scores and keeps each task's best rows of every query, so no posting is shuffled. Beyond ``pairs`` it is a join on tokens.
     """
     wanted = queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
+    asked = wanted.limit(pairs + 1).toArrow()
+    many = len(asked) > pairs or len(pc.unique(asked["query_id"])) > BATCH_QUERIES
+    scored = joined_scores(chunks, wanted) if many else best_scores(chunks, asked, wanted.schema["query_id"].dataType.simpleString(), limit)
+    w = Window.partitionBy("query_id").orderBy(F.round("bm25", 6).desc(), "rel_path", "chunk_index")
+    return scored.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < limit)
+
+
+def joined_scores(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """query_id, rel_path, chunk_index, bm25 of all matches, by a join of postings and queries."""
     index = postings(chunks).join(wanted.select("token").distinct(), "token", "left_semi")
     df = index.groupBy("token").agg(F.count("*").alias("n"))
     matched = index.join(wanted.join(df, "token"), "token").join(F.broadcast(corpus_stats(chunks)))
     idf = F.log((F.col("n_chunks") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     part = F.when(idf > 0, idf).otherwise(MIN_IDF) * F.col("times") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") * F.col("n_chunks") / F.col("total_tokens")))
-    scored = matched.groupBy("query_id", "rel_path", "chunk_index").agg(F.sum(part).alias("bm25"))
-    from pyspark.sql import Window
+    return matched.groupBy("query_id", "rel_path", "chunk_index").agg(F.sum(part).alias("bm25"))
 
-    w = Window.partitionBy("query_id").orderBy(F.round("bm25", 6).desc(), "rel_path", "chunk_index")
-    return scored.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < limit)
+
+def _occurrences(tokens: pa.Array, known: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of an array of lists of tokens: their lengths, and row, token (its place in ``known``) and frequency of what is known."""
+    lengths = np.asarray(pc.fill_null(pc.list_value_length(tokens), 0))
+    at = np.asarray(pc.fill_null(pc.index_in(tokens.flatten(), value_set=known), -1))
+    pair = np.repeat(np.arange(len(lengths)), lengths)[at >= 0] * len(known) + at[at >= 0]
+    pair, tf = np.unique(pair, return_counts=True)
+    return lengths, pair // max(len(known), 1), pair % max(len(known), 1), tf
+
+
+def best_scores(chunks: DataFrame, asked: pa.Table, kind: str, limit: int) -> DataFrame:
+    """query_id, rel_path, chunk_index, bm25: of each task at least the ``limit`` best rows of each query, in the order of ``batch_candidates``."""
+    spark = chunks.sparkSession
+    known, ids = pc.unique(asked["token"]), pc.unique(asked["query_id"])
+    tokens = chunks.select("rel_path", "chunk_index", T.tokens(F.col("normalized_text")).alias("tokens"))
+    held = spark.sparkContext.broadcast(known)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, rows, total = np.zeros(len(held.value), np.int64), 0, 0
+        for batch in batches:
+            lengths, _, token, _ = _occurrences(batch.column(0), held.value)
+            n += np.bincount(token, minlength=len(n))
+            rows, total = rows + len(lengths), total + int(lengths.sum())
+        found = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array([-2, -1, *found], pa.int64()), pa.array([rows, total, *n[found]], pa.int64())], ["token", "n"])
+
+    sums = dict(tokens.select("tokens").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect())
+    docs, total = sums.get(-2, 0), sums.get(-1, 0)
+    n = np.array([sums.get(i, 0) for i in range(len(known))], float)
+    idf = np.log((docs - n + 0.5) / (n + 0.5))
+    token = np.asarray(pc.index_in(asked["token"], value_set=known))
+    order = np.argsort(token, kind="stable")
+    weight = (np.where(idf > 0, idf, MIN_IDF)[token] * np.asarray(asked["times"]))[order]
+    query = np.asarray(pc.index_in(asked["query_id"], value_set=ids))[order]
+    plan = spark.sparkContext.broadcast((known, ids, np.searchsorted(token[order], np.arange(len(known) + 1)), query, weight))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, ids, first, query, weight = plan.value
+        at_once = max(1, SCORES_AT_ONCE // max(len(ids), 1))
+        floor, best, fresh = np.full(len(ids), -np.inf), [], 0
+        for batch in batches:
+            for start in range(0, batch.num_rows, at_once):
+                part = batch.slice(start, at_once)
+                lengths, row, token, tf = _occurrences(part.column(2), known)
+                x = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[row] * docs / max(total, 1)))
+                order = np.argsort(token, kind="stable")
+                row, token, x = row[order], token[order], x[order]
+                scores = np.zeros((part.num_rows, len(ids)))
+                for a, b in _runs(token):
+                    mine = slice(first[token[a]], first[token[a] + 1])
+                    scores[np.ix_(row[a:b], query[mine])] += np.outer(x[a:b], weight[mine])
+                rounded = np.round(scores, 6)
+                if part.num_rows >= limit > 0:
+                    floor = np.maximum(floor, np.partition(rounded, part.num_rows - limit, axis=0)[part.num_rows - limit])
+                row, q = np.nonzero((scores > 0) & (rounded >= floor))
+                paths, numbers = part.column(0).take(pa.array(row)).to_pylist(), part.column(1).take(pa.array(row)).to_pylist()
+                best += zip(q.tolist(), (-rounded[row, q]).tolist(), [(p is not None, p or "") for p in paths], numbers, scores[row, q].tolist())
+                fresh += len(row)
+                if fresh > 4 * limit * len(ids) + 10_000:
+                    best, fresh = _first(best, limit, floor), 0
+        best = _first(best, limit, floor)
+        columns = [ids.take(pa.array([r[0] for r in best], pa.int64())), pa.array([r[2][1] if r[2][0] else None for r in best], pa.string()), pa.array([r[3] for r in best], pa.int32()), pa.array([r[4] for r in best], pa.float64())]
+        yield pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], ["query_id", "rel_path", "chunk_index", "bm25"])
+
+    return tokens.mapInArrow(score, f"query_id {kind}, rel_path string, chunk_index int, bm25 double")
+
+
+def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Start and end of each run of equal values."""
+    cut = np.flatnonzero(np.diff(values)) + 1
+    return zip([0, *cut] if len(values) else [], [*cut, len(values)])
+
+
+def _first(rows: list[tuple], limit: int, floor: np.ndarray) -> list[tuple]:
+    """The first ``limit`` rows of each query in order; ``floor`` rises to the score of the last one."""
+    out, query, n = [], None, 0
+    for r in sorted(rows):
+        query, n = (r[0], n + 1) if r[0] == query else (r[0], 1)
+        if n <= limit:
+            out.append(r)
+        if n == limit:
+            floor[query] = max(floor[query], -r[1])
+    return out
