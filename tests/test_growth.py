@@ -57,3 +57,11 @@ def test_batch_moves_the_best_rows_only(spark, words):
     asked = queries.select("query_id", F.explode(F.split("text", " ")).alias("token")).withColumn("times", F.lit(1).cast("long")).toArrow()
     found = lexical.best_scores(words, asked, "int", 7)
     assert found.count() <= 7 * 20 * words.rdd.getNumPartitions()
+
+
+def test_frequencies_group_no_chunk(spark, words):
+    got = lexical.document_frequencies(words)
+    assert "chunk_index" not in "".join(x for x in executed(got).splitlines() if "Exchange" in x)
+    rows = words.select(F.explode(F.split("normalized_text", " ")).alias("token"), "rel_path", "chunk_index").where("token <> ''").withColumn("token", F.regexp_replace("token", "é", "e"))
+    want = rows.groupBy("token").agg(F.count_distinct("rel_path", "chunk_index").alias("df"), F.count("*").alias("tf"))
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
