@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators import chunk, lexical
+from textloom.operators import chunk, fuse, lexical, materialize, vector
+from textloom.plans.engine import Index
 
 PIECES = ["a", "é", "Σ", "- ", "# ", "##  ", "> ", "* ", " :: ", " ::", "\n", "\r\n", "\r", " ", "\t", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", " ", "᠎", " ", "　", "​", "x" * 20, "y" * 47, "z" * 48, "\U0001f600" * 24]
 
@@ -65,3 +66,44 @@ def test_frequencies_group_no_chunk(spark, words):
     rows = words.select(F.explode(F.split("normalized_text", " ")).alias("token"), "rel_path", "chunk_index").where("token <> ''").withColumn("token", F.regexp_replace("token", "é", "e"))
     want = rows.groupBy("token").agg(F.count_distinct("rel_path", "chunk_index").alias("df"), F.count("*").alias("tf"))
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
+
+
+def moved(df):
+    """Columns of the shuffles of a plan that has not run."""
+    return "".join(x.split("Exchange", 1)[1] for x in executed(df).split("Initial Plan")[0].splitlines() if "Exchange " in x)
+
+
+@pytest.fixture(scope="module")
+def corpus_files(spark):
+    r = random.Random(11)
+    text = lambda: "\n".join(r.choice(["licensed under the terms of a public license, as it is said here and elsewhere too", "under the tree", "é the licensed", "the the the"]) for _ in range(r.randint(1, 8)))
+    return spark.createDataFrame([(f"d{i % 3}/{i}.md", text()) for i in range(120)], "rel_path string, body string")
+
+
+def test_counts_of_phrases(spark):
+    rows = spark.createDataFrame([("p", 0, "c++ and c plus a-b"), ("p", 1, "a b a b"), ("p", 2, "b a"), ("q", 0, "zzz")], "rel_path string, chunk_index int, normalized_text string")
+    got = lexical.counts(rows, "a-b c++").collect()
+    assert sorted((r.rel_path, r.chunk_index, r.dl, r.cover, r.f0, r.f1) for r in got if r.chunk_index >= 0) == [("p", 0, 6, 1.0, 1, 2), ("p", 1, 4, 0.0, 2, 0)]
+    assert (sum(r.docs for r in got), sum(r.total for r in got)) == (4, 13)
+
+
+def test_search_moves_and_holds_no_texts(spark, corpus_files):
+    index = Index.build(corpus_files, "fts+vector").kept()
+    found = index.search("licensed under the")
+    assert all(set(h.columns).isdisjoint({"raw_text", "normalized_text", "vector"}) for h in index.held) and index.held
+    assert "raw_text" not in moved(found) and "vector#" not in moved(found)
+    assert found.count() == 20
+    index.close()
+
+
+def test_cut_before_or_after_snippets(spark, corpus_files):
+    index = Index.build(corpus_files, "fts+vector")
+    hits = fuse.cap_semantic(fuse.fuse(index.channels("under the tree")))
+    want = materialize.snippets(hits, index.chunks, 1, 1).orderBy(*fuse.priority()).limit(12)
+    got = index.search("under the tree", limit=12, before=1, after=1)
+    assert [(r.rel_path, r.chunk_index, r.snippet, r.line_start, r.line_end) for r in got.collect()] == [(r.rel_path, r.chunk_index, r.snippet, r.line_start, r.line_end) for r in want.collect()]
+
+
+def test_embedding_by_rows():
+    texts = ["", "é" * 10_000, "plain", "\x00"]
+    assert vector.embed_rows(texts, "passage").tolist() == [vector.embed_text(t, "passage") for t in texts]

@@ -16,15 +16,6 @@ from textloom.plans.schemas import LEXICAL_LIMIT
 K1, B, MIN_IDF = 1.2, 0.75, 1e-6
 
 
-def phrase_frequency(tokens: Column, phrase: list[str]) -> Column:
-    """Occurrences of a phrase of adjacent tokens."""
-    if len(phrase) == 1:
-        return F.size(F.filter(tokens, lambda t: t == phrase[0]))
-    want = F.array(*[F.lit(p) for p in phrase])
-    here = F.transform(tokens, lambda t, i: (t == phrase[0]) & (F.slice(tokens, i + 1, len(phrase)) == want))
-    return F.size(F.filter(here, lambda x: x))
-
-
 def query_phrases(spark: SparkSession, query: str) -> tuple[list[str], list[list[str]]]:
     """Normalized terms and the token phrase of each (empty ones match nothing)."""
     q = F.lit(query)
@@ -57,22 +48,64 @@ def nothing(chunks: DataFrame) -> DataFrame:
     return chunks.where(F.lit(False)).select("*", F.lit(0.0).alias("bm25"), F.lit(0.0).alias("lexical_score"))
 
 
-def candidates(chunks: DataFrame, query: str, scope: str | None = None, kind: str = "dir", limit: int = LEXICAL_LIMIT) -> DataFrame:
-    """The best chunks by BM25, statistics over all chunks, scope applied before the limit.
-
-    Statistics are one row, so joining them is no shuffle; the frequencies are found in the scan.
-    """
+def counts(chunks: DataFrame, query: str) -> DataFrame:
+    """rel_path, chunk_index, dl (tokens), cover, f0.. (occurrences of each phrase) of chunks that hold one; a row of each task, with
+    chunk_index -1, has the numbers of all chunks (docs) and tokens (total). The tokens are made once."""
     terms, phrases = query_phrases(chunks.sparkSession, query)
-    if not phrases:
+    known = pa.array(dict.fromkeys(t for p in phrases for t in p), pa.string())
+    place = {t: i for i, t in enumerate(known.to_pylist())}
+    coded = [[place[t] for t in p] for p in phrases]
+    names = ["rel_path", "chunk_index", "dl", "cover", "docs", "total", *[f"f{i}" for i in range(len(phrases))]]
+    kinds = [pa.string(), pa.int32(), pa.int64(), pa.float64(), *[pa.int64()] * (len(names) - 4)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, total = 0, 0
+        for batch in batches:
+            lists = batch.column(2)
+            lengths = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+            at = np.asarray(pc.fill_null(pc.index_in(lists.flatten(), value_set=known), -1))
+            row = np.repeat(np.arange(len(lengths)), lengths)
+            found = [np.bincount(row[_starts(at, row, p)], minlength=len(lengths)) for p in coded]
+            hit = np.flatnonzero(np.any(found, axis=0))
+            docs, total = docs + len(lengths), total + int(lengths.sum())
+            if len(hit):
+                take = lambda c: c.take(pa.array(hit))
+                none = np.zeros(len(hit), np.int64)
+                columns = [take(batch.column(0)), take(batch.column(1)), lengths[hit], take(batch.column(3)), none, none, *[f[hit] for f in found]]
+                yield pa.RecordBatch.from_arrays([pa.array(c).cast(k) for c, k in zip(columns, kinds)], names)
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([None, -1, 0, 0.0, docs, total, *[0] * len(coded)], kinds)], names)
+
+    cover = T.coverage(F.col("normalized_text"), F.array(*[F.lit(t) for t in terms])).cast("double")
+    rows = chunks.select("rel_path", "chunk_index", T.tokens(F.col("normalized_text")).alias("tokens"), cover.alias("cover"))
+    return rows.mapInArrow(run, "rel_path string, chunk_index int, dl long, cover double, docs long, total long" + "".join(f", {f} long" for f in names[6:]))
+
+
+def _starts(at: np.ndarray, row: np.ndarray, phrase: list[int]) -> np.ndarray:
+    """Where the adjacent tokens of a phrase begin within a row."""
+    n = max(len(at) - len(phrase) + 1, 0)
+    ok = row[:n] == row[len(phrase) - 1 :][:n]
+    for j, code in enumerate(phrase):
+        ok = ok & (at[j : j + n] == code)
+    return np.flatnonzero(ok)
+
+
+def scores(counted: DataFrame, scope: str | None = None, kind: str = "dir", limit: int = LEXICAL_LIMIT) -> DataFrame:
+    """rel_path, chunk_index, bm25, lexical_score of the best chunks, from ``counts``: statistics over all of them, scope applied before the
+    limit. Statistics are one row, so joining them is no shuffle."""
+    n = len([c for c in counted.columns if c.startswith("f")])
+    stats = counted.agg(F.sum("docs").alias("docs"), F.sum("total").alias("total"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(n)])
+    score, _ = bm25_parts(n)
+    rows = counted.where("chunk_index >= 0").where(T.in_scope(F.col("rel_path"), scope, kind)).drop("docs", "total")
+    best = best_of(rows.join(F.broadcast(stats)).withColumn("bm25", score), limit)  # stats: one row
+    return best.select("rel_path", "chunk_index", "bm25", (F.col("cover") + F.greatest("bm25", F.lit(0.0))).alias("lexical_score"))
+
+
+def candidates(chunks: DataFrame, query: str, scope: str | None = None, kind: str = "dir", limit: int = LEXICAL_LIMIT) -> DataFrame:
+    """The best chunks by BM25, with all their columns."""
+    if not query_phrases(chunks.sparkSession, query)[1]:
         return nothing(chunks)
-    counted = chunks.withColumn("tokens", T.tokens(F.col("normalized_text"))).withColumn("dl", F.size("tokens"))
-    for i, p in enumerate(phrases):
-        counted = counted.withColumn(f"f{i}", phrase_frequency(F.col("tokens"), p))
-    counted = counted.drop("tokens")
-    stats = counted.agg(F.count("*").alias("docs"), F.sum("dl").alias("total"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(phrases))])
-    score, hit = bm25_parts(len(phrases))
-    rows = counted.where(T.in_scope(F.col("rel_path"), scope, kind)).where(hit)
-    return covered(best_of(rows.join(F.broadcast(stats)).withColumn("bm25", score), limit), terms, chunks.columns)  # stats: one row
+    best = scores(counts(chunks, query), scope, kind, limit)
+    return chunks.join(F.broadcast(best), ["rel_path", "chunk_index"]).select(*chunks.columns, "bm25", "lexical_score")  # best: at most ``limit`` rows
 
 
 def stored_candidates(index: DataFrame, stats: DataFrame, chunks: DataFrame, query: str, scope: str | None = None, kind: str = "dir", limit: int = LEXICAL_LIMIT) -> DataFrame:

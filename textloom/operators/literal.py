@@ -21,12 +21,16 @@ def line_to_chunk(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     return inside.groupBy("rel_path", "line_number").agg(best.alias("b")).select("rel_path", "line_number", "b.line", "b.chunk_index")
 
 
-def candidates(files: DataFrame, chunks: DataFrame, query: str, scope: str | None = None, kind: str = "dir", scanner: scan.Scanner = scan) -> DataFrame:
-    """Chunks that hold a line with the literal; literal_line_number is the first such line. No limit."""
+def first_lines(files: DataFrame, chunks: DataFrame, query: str, scope: str | None = None, kind: str = "dir", scanner: scan.Scanner = scan) -> DataFrame:
+    """rel_path, chunk_index, literal_line_number, literal_preview: chunks that hold a line with the literal, and the first such line. No limit."""
     lines = scanner.literal_scan(line_rows(files.where(T.in_scope(F.col("rel_path"), scope, kind))), query)
     first = line_to_chunk(lines, chunks).groupBy("rel_path", "chunk_index").agg(F.min(F.struct("line_number", "line")).alias("l"))
-    found = first.select("rel_path", "chunk_index", F.col("l.line_number").alias("literal_line_number"), T.trimmed(F.col("l.line")).alias("literal_preview"))
-    return found.join(chunks, ["rel_path", "chunk_index"])
+    return first.select("rel_path", "chunk_index", F.col("l.line_number").alias("literal_line_number"), T.trimmed(F.col("l.line")).alias("literal_preview"))
+
+
+def candidates(files: DataFrame, chunks: DataFrame, query: str, scope: str | None = None, kind: str = "dir", scanner: scan.Scanner = scan) -> DataFrame:
+    """The same with all columns of the chunks."""
+    return first_lines(files, chunks, query, scope, kind, scanner).join(chunks, ["rel_path", "chunk_index"])
 
 
 def ranked(found: DataFrame) -> DataFrame:

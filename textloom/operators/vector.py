@@ -14,11 +14,24 @@ from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 from textloom.plans.schemas import MIN_VECTOR_SCORE, VECTOR_DIMS, VECTOR_LIMIT
 
 
+ROWS_AT_ONCE = 2_048  # vectors made at once
+
+
 def embed_text(text: str, prefix: str, dims: int = VECTOR_DIMS) -> list[float]:
     raw = np.frombuffer(f"{prefix}: {text}".encode(), np.uint8)
     return np.bincount(np.arange(len(raw)) % dims, weights=raw % 31 + 1.0, minlength=dims).tolist()
 
 
+def embed_rows(texts: list[str], prefix: str, dims: int = VECTOR_DIMS) -> np.ndarray:
+    """``embed_text`` of each text, as rows of 32-bit floats."""
+    out, slots = np.zeros((len(texts), dims), np.float32), np.arange(4096) % dims
+    for row, text in zip(out, texts):
+        raw = np.frombuffer(f"{prefix}: {text}".encode(), np.uint8)
+        slots = slots if len(raw) <= len(slots) else np.arange(2 * len(raw)) % dims
+        row[:] = np.bincount(slots[: len(raw)], weights=raw % 31 + 1.0, minlength=dims)
+    return out
+
+
 def to_bytes(vector: Column) -> Column:
     """A vector as little-endian 32-bit floats."""
 
@@ -53,6 +66,12 @@ def embed(rows: DataFrame, column: str, prefix: str = "passage", dims: int = VEC
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
+            if embedder is embed_text:
+                for i in range(0, len(texts), ROWS_AT_ONCE):
+                    part = embed_rows(texts[i : i + ROWS_AT_ONCE], prefix, dims)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * dims, pa.int32()), pa.array(part.ravel()))
+                    yield pa.RecordBatch.from_arrays([*batch.slice(i, ROWS_AT_ONCE).columns, lists], [*names, "vector"])
+                continue
             many = getattr(embedder, "many", None)
             vectors = [v for i in range(0, len(texts), size) for v in many(texts[i : i + size], prefix, dims)] if many else [embedder(t, prefix, dims) for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(vectors, pa.list_(pa.float32()))], [*names, "vector"])
@@ -75,6 +94,7 @@ def nearest(vectors: DataFrame, key: str, query: list[float], k: int = VECTOR_LI
 
 def nearest_arrow(vectors: DataFrame, key: str, query: list[float], k: int = VECTOR_LIMIT) -> DataFrame:
     """The same by Arrow batches: each batch keeps its own k best, so the sort that follows is small."""
+    kind = vectors.schema[key].dataType.simpleString()
     q = np.asarray(query, float)
     q = q / np.linalg.norm(q)
 
@@ -84,11 +104,13 @@ def nearest_arrow(vectors: DataFrame, key: str, query: list[float], k: int = VEC
                 continue
             m = np.asarray(batch.column(1).flatten(), float).reshape(batch.num_rows, -1)
             score = m @ q / np.linalg.norm(m, axis=1)
-            keys = np.asarray(batch.column(0))
-            top = np.lexsort((keys, -score.round(6)))[:k]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[top]), pa.array(score[top])], [key, "vector_score"])
+            rounded = -score.round(6)
+            near = np.flatnonzero(rounded <= np.partition(rounded, k - 1)[k - 1]) if len(rounded) > k > 0 else np.arange(len(rounded))
+            keys = np.asarray(batch.column(0).take(pa.array(near)).to_pylist(), object)
+            top = np.lexsort((keys, rounded[near]))[:k]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(near[top])), pa.array(score[near[top]])], [key, "vector_score"])
 
-    best = vectors.select(F.col(key).cast("long"), "vector").mapInArrow(run, f"{key} long, vector_score double")
+    best = vectors.select(key, "vector").mapInArrow(run, f"{key} {kind}, vector_score double")
     return best.orderBy(F.round("vector_score", 6).desc(), key).limit(k)
 
 

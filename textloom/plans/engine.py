@@ -52,19 +52,24 @@ class Index:
         self.scanner = scanner
         self.postings, self.stats = postings, stats  # stored ones, if there are any
         self.files, self.chunks, self.vectors, self.dims, self.embedder = files, chunks, vectors, dims, embedder
-        self.held: list[DataFrame] = []
+        self.held, self.keeps = [], False
 
     def kept(self) -> Index:
-        """The index with its chunks (and vectors) held by the executors, in memory or on their disks, so that the branches of a search don't
-        make them anew; lost ones are computed again. ``close`` lets them go."""
-        self.chunks = self.chunks.persist()
-        self.vectors = self.vectors.persist() if self.vectors is not None else None
+        """The index whose searches hold what two of their branches need of the chunks (no texts) in memory or on the executors' disks, so that
+        it isn't made anew; what is lost is computed again. ``close`` lets it go."""
+        self.keeps = True
         return self
 
+    def holding(self, rows: DataFrame) -> DataFrame:
+        if not self.keeps:
+            return rows
+        self.held.append(rows.persist())
+        return self.held[-1]
+
     def close(self) -> None:
-        for held in (self.chunks, self.vectors, *self.held):
-            if held is not None:
-                held.unpersist()
+        for held in self.held:
+            held.unpersist()
+        self.held.clear()
 
     @classmethod
     def build(cls, files: DataFrame, level: str = "fts", dims: int = S.VECTOR_DIMS, embedder=vector.embed_text) -> Index:
@@ -81,34 +86,41 @@ class Index:
         if Query(query).is_empty:
             raise ValueError("the query is empty")
         stored = self.postings is not None and self.stats is not None
-        lex = lexical.stored_candidates(self.postings, self.stats, self.chunks, query, scope, kind) if stored else lexical.candidates(self.chunks, query, scope, kind)
+        if stored:
+            lex = lexical.stored_candidates(self.postings, self.stats, self.chunks, query, scope, kind)
+        elif lexical.query_phrases(self.chunks.sparkSession, query)[1]:
+            lex = lexical.scores(self.holding(lexical.counts(self.chunks, query)), scope, kind)
+        else:
+            lex = lexical.nothing(self.chunks)
         # at most 96 rows; ranked after the limit
         w = Window.orderBy(F.round("bm25", 6).desc(), "rel_path", "chunk_index")
         out = fuse.channel(lex.withColumn("rank", F.row_number().over(w) - 1), "lexical")
-        out = out.unionByName(fuse.channel(literal.ranked(literal.candidates(self.files, self.chunks, query, scope, kind, self.scanner)), "literal"))
+        out = out.unionByName(fuse.channel(literal.ranked(literal.first_lines(self.files, self.chunks, query, scope, kind, self.scanner)), "literal"))
         if self.vectors is not None:
             inside = self.chunks.where(T.in_scope(F.col("rel_path"), scope, kind))
             key = "shared_normalized_text_hash"
-            best = vector.nearest(self.vectors.join(inside.select(key), key, "left_semi"), key, self.embedder(Query(query).normalized, "query", self.dims))
+            known = self.vectors.join(inside.select(key).distinct(), key, "left_semi") if scope else self.vectors  # each vector has its chunk
+            best = vector.nearest_arrow(known, key, self.embedder(Query(query).normalized, "query", self.dims))
             rows = vector.fan_out(best, inside)
             order = Window.orderBy(F.round("vector_score", 6).desc(), key, "rel_path", "chunk_index")
             out = out.unionByName(fuse.channel(rows.withColumn("rank", F.row_number().over(order) - 1), "vector"))
         return out
 
     def search(self, query: str, scope: str | None = None, kind: str = "dir", limit: int = S.RESULT_LIMIT, before: int = 0, after: int = 0, live: str | None = None) -> DataFrame:
-        """Fused hits in order: literal before lexical before semantic; materialized, then capped, then cut.
+        """Fused hits in order: literal before lexical before semantic; capped, then cut, then materialized.
 
         With ``live``, the root of the files, snippets come from the files of the hits as they are now; hits whose file or
-        chunk is gone go. The hits are held until ``close``.
+        chunk is gone go, so they are materialized first. The hits are held until ``close``.
         """
-        hits, texts = fuse.fuse(self.channels(query, scope, kind)), self.chunks
+        hits = fuse.fuse(self.channels(query, scope, kind))
         if live is not None:
             hits = hits.persist()
             self.held.append(hits)
-            texts = chunks_of(corpus.reread(hits, live))
-        hits = materialize.snippets(hits, texts, before, after)
+            hits = materialize.snippets(hits, chunks_of(corpus.reread(hits, live)), before, after)
         if self.vectors is not None:
             hits = fuse.cap_semantic(hits)
+        if live is None:  # every hit has its chunk
+            hits = materialize.snippets(hits.orderBy(*fuse.priority()).limit(limit), self.chunks, before, after, few=True)
         label = T.channel_label(F.col("partial_text_match"), F.col("indexed_text_match"), F.col("vector_score"))
         return hits.orderBy(*fuse.priority()).limit(limit).withColumn("channel_label", label)
 

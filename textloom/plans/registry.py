@@ -215,7 +215,7 @@ def corpus_stats(spark, d):
 
 
 def _lexical(spark, d, scope=None, kind="dir"):
-    found = lexical.candidates(chunks(spark, d), QUERY, scope, kind)
+    found = lexical.scores(lexical.counts(chunks(spark, d), QUERY), scope, kind)
     return rounded(found.select("rel_path", "chunk_index", "bm25", "lexical_score"), "bm25", "lexical_score")
 
 
