@@ -107,3 +107,15 @@ def test_cut_before_or_after_snippets(spark, corpus_files):
 def test_embedding_by_rows():
     texts = ["", "é" * 10_000, "plain", "\x00"]
     assert vector.embed_rows(texts, "passage").tolist() == [vector.embed_text(t, "passage") for t in texts]
+
+
+def test_context_is_joined_by_number(spark, corpus_files):
+    made = chunk.text_chunks(corpus_files)
+    hits = made.where("chunk_index % 2 = 0").select("rel_path", "chunk_index", F.lit(None).cast("int").alias("literal_line_number"), F.lit(None).cast("string").alias("literal_preview"))
+    got = materialize.snippets(hits, made, 1, 1)
+    joins = [x for x in executed(got).splitlines() if "Join" in x and "LeftOuter" in x]
+    assert joins and all("__at" in x.split("LeftOuter")[0] for x in joins)
+    rows = {(r.rel_path, r.chunk_index): r for r in made.collect()}
+    for r in got.collect():
+        near = [rows[k] for k in ((r.rel_path, r.chunk_index + i) for i in (-1, 0, 1)) if k in rows]
+        assert (r.snippet, r.line_start, r.line_end) == ("\n".join(x.raw_text for x in near), near[0].line_start, near[-1].line_end)
