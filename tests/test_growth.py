@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.operators import chunk, fuse, lexical, materialize, vector
+from textloom.plans import registry
 from textloom.plans.engine import Index
 
 PIECES = ["a", "é", "Σ", "- ", "# ", "##  ", "> ", "* ", " :: ", " ::", "\n", "\r\n", "\r", " ", "\t", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", " ", "᠎", " ", "　", "​", "x" * 20, "y" * 47, "z" * 48, "\U0001f600" * 24]
@@ -119,3 +120,11 @@ def test_context_is_joined_by_number(spark, corpus_files):
     for r in got.collect():
         near = [rows[k] for k in ((r.rel_path, r.chunk_index + i) for i in (-1, 0, 1)) if k in rows]
         assert (r.snippet, r.line_start, r.line_end) == ("\n".join(x.raw_text for x in near), near[0].line_start, near[-1].line_end)
+
+
+@pytest.mark.parametrize("name", ["status_counts", "gc_orphans", "search_fts", "fuse_fts"])
+def test_lines_are_not_sorted(spark, small, name):
+    """What ran has no window over the lines of files: those of no path in common are chunked where they are read."""
+    found = registry.QUERIES[name](spark, small)
+    found.collect()
+    assert "line#" not in "".join(x for x in executed(found).split("Initial Plan")[0].splitlines() if "Exchange " in x or "Sort " in x)
